@@ -107,7 +107,8 @@ def _named(folded: DataFrame) -> DataFrame:
 def identities(rows: DataFrame) -> DataFrame:
     """(row, text) -> (row, sha, n, name): sha256 of the normalised text, and an identity that equal texts alone share.
 
-    `row` must be unique and the same in every run over the input (the input is read once for blocks and once for names).
+    `row` must be unique, and rows must come in the same order in every run over the input, as from a stored table (it is
+    read once for blocks and once for names); cut a shuffled input first.
     """
     common.ship(rows.sparkSession)
     current = common.cut(_named(rows.mapInArrow(_blocks, _DDL)))
@@ -119,6 +120,7 @@ def identities(rows: DataFrame) -> DataFrame:
             F.first("n").alias("n"), F.max(F.when(F.expr("pos % 2 = 0"), F.col("name"))).alias("left"), F.max(F.when(F.expr("pos % 2 = 1"), F.col("name"))).alias("right")
         )
         pair = pair.select("row", F.col("half").cast("int").alias("pos"), "n", "left", "right")
+        pair = common.cut(pair)  # folding depends on the order of rows, which a second run of a shuffle may change
         current = common.cut(_named(pair.mapInArrow(_pairs, _DDL)).withColumn("n", F.expr("cast((n + 1) div 2 as int)")).drop("sha"))
         done.append(current.where("n = 1").select("row", "name"))
         if top <= 2:
