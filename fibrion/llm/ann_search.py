@@ -122,11 +122,13 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, bound: float = B
     ddl = "row long, vec_id long, embedding array<double>, code binary, norm double, factor double"
     base = rows.where(F.size("embedding") == dim).select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding")
     coded = common.cut(base.mapInArrow(index, ddl))
-    dealt = coded.withColumn("rb", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    asked = coded.where(F.col("vec_id") % every == 0).select("row", "vec_id", "embedding")
-    asked = asked.withColumn("qb", F.pmod(F.xxhash64("row"), F.lit(query_blocks)).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    columns = ["row", "vec_id", "embedding", "code", "norm", "factor", "rb", "qb", "asked"]
+    own_block, own_query = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("row"), F.lit(query_blocks)).cast("int")
+    dealt = coded.select("*", own_block.alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), F.lit(False).alias("asked"))
+    asked = coded.where(F.col("vec_id") % every == 0).select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("rb"), own_query.alias("qb"), F.lit(True).alias("asked"))
 
-    def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def block(held: pd.DataFrame) -> pd.DataFrame:
+        left, right = held[~held["asked"]], held[held["asked"]]
         if left.empty or right.empty:
             return pd.DataFrame({"query_row": [], "query_id": [], "vec_id": [], "score": []}).astype({"query_row": "i8", "query_id": "i8", "vec_id": "i8"})
         x, ids = np.stack(left["embedding"].to_numpy()), left["vec_id"].to_numpy()
@@ -134,7 +136,8 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, bound: float = B
         i, j, s = search(right["row"].to_numpy(), np.stack(right["embedding"].to_numpy()), left["row"].to_numpy(), ids, x, (codes, left["norm"].to_numpy(), left["factor"].to_numpy()), rot, k)
         return pd.DataFrame({"query_row": right["row"].to_numpy()[i], "query_id": right["vec_id"].to_numpy()[i], "vec_id": ids[j], "score": s})
 
-    found = dealt.groupBy("rb", "qb").cogroup(asked.groupBy("rb", "qb")).applyInPandas(block, "query_row long, query_id long, vec_id long, score double")
+    united = dealt.select(columns).unionByName(asked.select(columns))
+    found = united.groupBy("rb", "qb").applyInPandas(block, "query_row long, query_id long, vec_id long, score double").where("score > double('-inf')")
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

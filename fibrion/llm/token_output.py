@@ -207,7 +207,7 @@ def write(docs: DataFrame, tokenizer_json: str, out_dir: str, end_id: int = END_
 
     n = parts or common.partitions(spark)
     sorted_docs = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return sorted_docs.mapInArrow(save, "part int, path string, docs long, tokens long").collect()
+    return sorted_docs.mapInArrow(save, "part long, path string, docs long, tokens long").collect()
 
 
 def read(spark: SparkSession, manifest) -> DataFrame:

@@ -24,7 +24,7 @@ WINDOW, STRIDE = 32, 24
 WORD_SLOTS, CHAR_SLOTS, WORD_DIM, CHAR_DIM, HIDDEN = 1 << 15, 1 << 12, 6, 6, 8
 #: Labelled documents that the network is fitted on, at most, of each label: those of the least hashes.
 SAMPLE_OF = {1: 2_000, 0: 2_500}
-ROUNDS, EPOCHS, BATCH, SEED = 2, 6, 128, 5
+ROUNDS, EPOCHS, LEAST_STEPS, BATCH, SEED = 2, 6, 200, 128, 5
 STEP, CHUNK = 1_000, 4_096
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -44,25 +44,19 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat, n
 
 
-def _letters(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The words' bytes between single spaces, and where each word's run starts (with its leading space)."""
-    joined = b" " + b" ".join(words.cast(pa.large_binary()).to_pylist()) + b"  "
-    sizes = pc.binary_length(words).to_numpy().astype("i8")
-    return np.frombuffer(joined, "u1"), np.cumsum(sizes + 1) - sizes - 1
-
-
 def slots(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slot of each word, slots of all words' trigrams end to end, where each word's trigrams start)."""
+    """(slot of each word, slots of all words' trigrams end to end, where each word's trigrams start). A word's trigrams
+    are those of its bytes between single spaces, as many as it has bytes."""
     if not len(words):
         return np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0, "i8")
-    raw, start = _letters(words)
-    raw = raw.astype("u8")
-    tri = (raw[:-2] * np.uint64(1_000_003) + raw[1:-1]) * np.uint64(1_000_003) + raw[2:]
+    raw = np.frombuffer(b" " + b"  ".join(words.cast(pa.large_binary()).to_pylist()) + b"  ", "u1").astype("u8")
+    sizes = pc.binary_length(words).to_numpy().astype("i8")
+    start = np.cumsum(sizes) - sizes
+    place = np.arange(sizes.sum()) - np.repeat(start, sizes)
+    at = place + np.repeat(start + 2 * np.arange(len(sizes)), sizes)
+    tri = (raw[at] * np.uint64(1_000_003) + raw[at + 1]) * np.uint64(1_000_003) + raw[at + 2]
     tri = (tri * _P) >> np.uint64(40)
-    tri = tri[: len(raw) - 2]
-    place = (np.arange(len(tri)) - np.repeat(start, np.diff(np.r_[start, len(tri)]))).astype("u8")
-    mixed = (tri + np.uint64(1)) * ((place * np.uint64(2) + np.uint64(1)) * _P)
-    whole = np.add.reduceat(mixed, start)
+    whole = np.add.reduceat((tri + np.uint64(1)) * ((place.astype("u8") * np.uint64(2) + np.uint64(1)) * _P), start)
     return ((whole * _P) >> np.uint64(40)).astype("i8") % WORD_SLOTS, (tri % np.uint64(CHAR_SLOTS)).astype("i8"), start
 
 
@@ -260,7 +254,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = SEED) -> Netwo
         chosen = np.concatenate([loudest, quiet])
         target, weight = y[batch.of[chosen]], np.ones(len(chosen), "f4")
         weight[(target == 1) & (score[chosen] < np.median(score[loudest]))] = 0.3 if turn == 0 else 1.0
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(chosen)))):
             deal = rng.permutation(len(chosen))
             for lo in range(0, len(deal), BATCH):
                 pick = deal[lo : lo + BATCH]
