@@ -1,7 +1,9 @@
 import os
 import sys
 
-import pytest
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # small products: threads would only wait for each other
+
+import pytest  # noqa: E402
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
