@@ -25,6 +25,8 @@ WORD_SLOTS, CHAR_SLOTS, WORD_DIM, CHAR_DIM, HIDDEN = 1 << 15, 1 << 12, 6, 6, 8
 #: Labelled documents that the network is fitted on, at most, of each label: those of the least hashes.
 SAMPLE_OF = {1: 2_000, 0: 2_500}
 ROUNDS, EPOCHS, LEAST_STEPS, BATCH, SEED = 2, 6, 200, 128, 5
+#: Log-odds that a toxic document's strongest word must have for its label to count in full.
+EVIDENCE = 1.5
 STEP, CHUNK = 1_000, 4_096
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -116,7 +118,7 @@ class Network:
         logit = pooled @ self.p["out"] + self.p["bias"][0]
         return (logit, (live, cache, both, a, pooled)) if keep else logit
 
-    def backward(self, found, vectors, gates, at: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    def backward(self, found, vectors, gates, at: np.ndarray, y: np.ndarray, weight: np.ndarray, words: bool = True) -> dict[str, np.ndarray]:
         """Gradients of the weighted mean cross-entropy."""
         h = HIDDEN
         logit, (live, cache, both, a, pooled) = self.forward(gates, at, keep=True)
@@ -149,7 +151,8 @@ class Network:
             g[f"wx{d}"], g[f"b{d}"] = vectors.T @ own, own.sum(0)
             d_vec += own @ self.p[f"wx{d}"].T
         if len(word):
-            np.add.at(g["word"], word, d_vec[:, :WORD_DIM])
+            if words:
+                np.add.at(g["word"], word, d_vec[:, :WORD_DIM])
             count = np.diff(np.r_[start, len(tri)])
             np.add.at(g["char"], tri, np.repeat(d_vec[:, WORD_DIM:] / count[:, None], count, axis=0))
         return g
@@ -245,15 +248,16 @@ def train(texts: list[str | None], labels: list[int], seed: int = SEED) -> Netwo
     for lo in range(0, len(score), CHUNK):
         at = batch.places(np.arange(lo, min(lo + CHUNK, len(score))))
         score[lo : lo + CHUNK] = np.where(at >= 0, np.maximum(odds[at], 0), 0).max(1) if len(odds) else 0
-    m, v, step = {k: np.zeros_like(x) for k, x in net.p.items()}, {k: np.zeros_like(x) for k, x in net.p.items()}, 0
     starts = np.flatnonzero(np.r_[True, batch.of[1:] != batch.of[:-1]])
-    for turn in range(ROUNDS):
+    evidence = np.maximum.reduceat(score, starts)
+    m, v, step = {k: np.zeros_like(x) for k, x in net.p.items()}, {k: np.zeros_like(x) for k, x in net.p.items()}, 0
+    for _ in range(ROUNDS):
         order = np.lexsort((-score, batch.of))
         loudest = order[starts]
         quiet = np.concatenate([rng.integers(s, e, 1) for s, e, t in zip(starts, np.r_[starts[1:], len(score)], y, strict=True) if t == 0])
         chosen = np.concatenate([loudest, quiet])
         target, weight = y[batch.of[chosen]], np.ones(len(chosen), "f4")
-        weight[(target == 1) & (score[chosen] < np.median(score[loudest]))] = 0.3 if turn == 0 else 1.0
+        weight[(target == 1) & (evidence[batch.of[chosen]] < EVIDENCE)] = 0.05  # its label speaks of nothing that others share
         for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(chosen)))):
             deal = rng.permutation(len(chosen))
             for lo in range(0, len(deal), BATCH):
@@ -263,14 +267,17 @@ def train(texts: list[str | None], labels: list[int], seed: int = SEED) -> Netwo
                 local = local.reshape(at.shape) - (used[0] == -1)
                 sub = slots(batch.words.take(pa.array(used[used >= 0])))
                 vectors = net.vectors(sub)
-                g = net.backward(sub, vectors, net.inputs(vectors), local, target[pick], weight[pick])
+                g = net.backward(sub, vectors, net.inputs(vectors), local, target[pick], weight[pick], words=False)
                 step += 1
                 for k, x in net.p.items():
+                    if k == "word":
+                        continue  # words keep their log-odds and random marks: training them would learn single documents
                     m[k] += 0.1 * (g[k] - m[k])
                     v[k] += 0.01 * (g[k] * g[k] - v[k])
                     x -= 0.004 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
         score = batch.window_logits(net)
-    net.p["bias"] += calibration(np.maximum.reduceat(score, starts), y)
+    shown = (y == 0) | (evidence >= EVIDENCE)
+    net.p["bias"] += calibration(np.maximum.reduceat(score, starts)[shown], y[shown])
     return net
 
 
