@@ -1,6 +1,17 @@
-"""Every query of the engine over the driver's tables, with its SQL."""
+"""Every query of the engine over the driver's tables, with its SQL where SQL expresses it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import relations
+
+
+def _relation(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.relation(spark, name, sf_dir)
+
+
+QUERIES = {name: partial(_relation, name) for name in relations.R if name not in relations.STEPS}
+ORACLE_SQL = {name: relations.duckdb_sql(name) for name in QUERIES}
