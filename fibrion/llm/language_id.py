@@ -178,7 +178,10 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Network:
     """Fits on at most `sample` labelled documents that aren't held out: those with the least hashes of their doc_id."""
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    rows = labelled.select("text", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = labelled.select(F.col("doc_id")).orderBy(*order).limit(sample).distinct()  # ids alone go to one place
+    rows = labelled.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").collect()  # bounded by `sample`
+    rows = sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["text"]))[:sample]
     return train([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else Network([UNKNOWN], [np.zeros((w, 256, FILTERS), "f4") for w in WIDTHS], np.zeros((FILTERS * len(WIDTHS), 1), "f4"), np.zeros(1, "f4"))
 
 

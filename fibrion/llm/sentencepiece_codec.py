@@ -25,7 +25,7 @@ from .word_codes import WordCodes
 MARK = "\u2581"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-STEP = 2_000
+STEP = 1_000
 #: Runs of white space, white space at an end, the marker itself: such texts are encoded whole.
 UNPLAIN = "[ \\n][ \\n]|^[ \\n]|[ \\n]$|^$|\u2581|\\x00"
 

@@ -31,7 +31,7 @@ from .word_codes import WordCodes
 SEEK_MAGIC, SKIPPABLE_DIRECTORY, SKIPPABLE_SEEK = 0x8F92EAB1, 0x184D2A50, 0x184D2A5E
 DIRECTORY_MAGIC = b"FBDX"
 FRAME_TOKENS = 65_536
-STEP = 2_000  #: documents encoded at a time
+STEP = 1_000  #: documents encoded at a time
 END_ID = 0
 #: What a text must not have to be cut at words: runs of white space, white space at an end, characters beyond Latin-1.
 UNPLAIN = "[^\\n\\x20-\\x7e\u00c0-\u00ff]|[ \\n][ \\n]|^[ \\n]|[ \\n]$|^$"

@@ -7,13 +7,15 @@ codes of the first `kept` words it meets; the ids never depend on that.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from itertools import chain
 
+import os
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+os.environ.setdefault("RAYON_NUM_THREADS", "2")  # the library's threads; executors run a task a core
 JOINED = 50  #: new words given to the library in one text
 
 
@@ -28,7 +30,7 @@ class WordCodes:
     that each id stands for; plain: RE2 pattern that no plain text matches; leading: the first word of a text is coded
     as after a line end, whose single id is dropped."""
 
-    def __init__(self, words, whole, width: np.ndarray, unplain: str, leading: bool, kept: int = 700_000):
+    def __init__(self, words, whole, width: np.ndarray, unplain: str, leading: bool, kept: int = 300_000):
         self.words, self.whole, self.width, self.unplain, self.leading, self.kept = words, whole, width, unplain, leading, kept
         self.known: dict[str, int] = {}
         self.pool, self.used = np.empty(1 << 16, "<u4"), 0
