@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from functools import partial
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import statistics
+from ..functions.physics import Settings
+from ..operators import simulate
 from . import relations
 
 
@@ -15,3 +20,60 @@ def _relation(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {name: partial(_relation, name) for name in relations.R if name not in relations.STEPS}
 ORACLE_SQL = {name: relations.duckdb_sql(name) for name in QUERIES}
+
+
+def _energies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 40")  # a fixed set of 40 molecules stands for an experiment
+    return v.select(F.col("vec_id").alias("mol"), F.transform("embedding", lambda x: 8.0 * x.cast("double")).alias("e"))
+
+
+_SETTINGS = Settings(nucbp=10, llink=5, elink=0.5, mu=-1.0)
+
+
+def _exact_occupancy(spark, sf_dir):
+    solved = simulate.exact(_energies(spark, sf_dir), _SETTINGS)
+    return solved.select("mol", F.posexplode("occupancy").alias("pos", "occ"))
+
+
+def _exact_counts(spark, sf_dir):
+    return simulate.exact(_energies(spark, sf_dir), _SETTINGS).select("mol", "status", "logz", "mean_n", "var_n")
+
+
+def _sampled(spark, sf_dir):
+    return simulate.occupancy(simulate.samples(_energies(spark, sf_dir), _SETTINGS, 8, 1), 64, _SETTINGS.nucbp)
+
+
+def _mcmc(spark, sf_dir):
+    few = _energies(spark, sf_dir).where("mol < 8")
+    frames = simulate.trajectories(few, _SETTINGS, 2, 1, 20, 2.0, 10)
+    return frames.select("mol", "run", "time", "energy", "temp", F.size("positions").alias("n_nuc"))
+
+
+def _evidence(spark, sf_dir):
+    return simulate.llink_evidence(_energies(spark, sf_dir), _SETTINGS, [0, 5, 10])
+
+
+def _em(spark, sf_dir):
+    return simulate.em_fit(relations.relation(spark, "window_counts", sf_dir))
+
+
+def _nu(spark, sf_dir):
+    return simulate.nu_fit(relations.relation(spark, "control_counts", sf_dir))
+
+
+def _linkage(spark, sf_dir):
+    rows = _energies(spark, sf_dir).orderBy("mol").collect()  # a clustering order is of a bounded set of molecules
+    order = statistics.leaves(statistics.linkage(np.array([r["e"] for r in rows])))
+    return spark.createDataFrame([(k, rows[i]["mol"]) for k, i in enumerate(order)], "rank long, mol long")
+
+
+def _seeds(spark, sf_dir):
+    from ..functions.physics import run_seed
+
+    return spark.createDataFrame([(m, r, run_seed(7, 0, m, r)) for m in range(20) for r in range(3)], "mol long, run long, seed long")
+
+
+QUERIES |= {
+    "exact_occupancy": _exact_occupancy, "exact_counts": _exact_counts, "sampled_occupancy": _sampled, "mcmc_summary": _mcmc,
+    "llink_evidence": _evidence, "em_fit": _em, "nu_fit": _nu, "linkage_order": _linkage, "seed_table": _seeds,
+}
