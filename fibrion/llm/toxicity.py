@@ -258,7 +258,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = SEED) -> Netwo
         chosen = np.concatenate([loudest, quiet])
         target, weight = y[batch.of[chosen]], np.ones(len(chosen), "f4")
         weight[(target == 1) & (evidence[batch.of[chosen]] < EVIDENCE)] = 0.05  # its label speaks of nothing that others share
-        for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(chosen)))):
+        for _ in range(max(EPOCHS, -(-LEAST_STEPS // -(-len(chosen) // BATCH)))):
             deal = rng.permutation(len(chosen))
             for lo in range(0, len(deal), BATCH):
                 pick = deal[lo : lo + BATCH]
