@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 from ..functions import physics, statistics
 
 
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Deals rows of long work to all cores; a count of its own keeps small rows from being put together again."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def exact(mols: DataFrame, settings: physics.Settings) -> DataFrame:
     """mol, status, logz, mean_n, var_n, occupancy (array)."""
 
@@ -26,7 +31,7 @@ def exact(mols: DataFrame, settings: physics.Settings) -> DataFrame:
                 clean = lambda v: [None if q else float(x) for x, q in zip(v, bad, strict=True)]
                 yield pd.DataFrame({"mol": part["mol"].to_numpy(), "status": np.where(bad, "no_energy", "ok"), "logz": clean(out["logz"]), "mean_n": clean(out["mean_n"]), "var_n": clean(out["var_n"]), "occupancy": [None if q else o.tolist() for o, q in zip(out["occupancy"], bad, strict=True)]})
 
-    return mols.mapInPandas(run, "mol long, status string, logz double, mean_n double, var_n double, occupancy array<double>")
+    return _spread(mols, "mol").mapInPandas(run, "mol long, status string, logz double, mean_n double, var_n double, occupancy array<double>")
 
 
 def samples(mols: DataFrame, settings: physics.Settings, nsim: int, seed: int) -> DataFrame:
@@ -42,7 +47,7 @@ def samples(mols: DataFrame, settings: physics.Settings, nsim: int, seed: int) -
             yield pd.DataFrame(rows, columns=["mol", "run", "seed", "energy", "positions"])
 
     runs = mols.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(nsim - 1))))
-    return runs.mapInPandas(run, "mol long, run int, seed long, energy double, positions array<int>")
+    return _spread(runs, "mol", "run").mapInPandas(run, "mol long, run int, seed long, energy double, positions array<int>")
 
 
 def trajectories(mols: DataFrame, settings: physics.Settings, nsim: int, seed: int, nsweep: int, start_temp: float, freq: int = 1, cooling: str = "linear") -> DataFrame:
@@ -55,7 +60,7 @@ def trajectories(mols: DataFrame, settings: physics.Settings, nsim: int, seed: i
                 yield pd.DataFrame([(mol, run_, *f) for f in frames], columns=["mol", "run", "time", "energy", "temp", "positions"])
 
     runs = mols.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(nsim - 1))))
-    return runs.mapInPandas(run, "mol long, run int, time long, energy double, temp double, positions array<int>")
+    return _spread(runs, "mol", "run").mapInPandas(run, "mol long, run int, time long, energy double, temp double, positions array<int>")
 
 
 def occupancy(frames: DataFrame, nbp: int, nucbp: int) -> DataFrame:
@@ -83,7 +88,7 @@ def llink_evidence(mols: DataFrame, settings: physics.Settings, candidates: list
                 yield pd.DataFrame({"llink": [int(llink)], "evidence": [float(np.nansum(z))]})
 
     spread = mols.withColumn("llink", F.explode(F.array(*map(F.lit, candidates))))
-    return spread.mapInPandas(run, "llink int, evidence double").groupBy("llink").agg(F.sum("evidence").alias("evidence"))
+    return _spread(spread, "mol", "llink").mapInPandas(run, "llink int, evidence double").groupBy("llink").agg(F.sum("evidence").alias("evidence"))
 
 
 def em_fit(bins: DataFrame) -> DataFrame:
@@ -105,3 +110,14 @@ def nu_fit(counts: DataFrame) -> DataFrame:
         return pd.DataFrame({"source": [b["source"].iloc[0]], "channel": [b["channel"].iloc[0]], "nu": [statistics.fit_nu(b["k"].to_numpy(float), b["n"].to_numpy(float))]})
 
     return counts.groupBy("source", "channel").applyInPandas(fit, "source string, channel long, nu double")
+
+
+def linkage_order(mols: DataFrame) -> DataFrame:
+    """(chrom, mol, e) -> chrom, rank, mol: leaf order of a chromosome's molecules. Memory grows with the square of a chromosome's molecules."""
+
+    def order(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("mol", ignore_index=True)
+        found = statistics.leaves(statistics.linkage(np.array([np.array(v, float) for v in b["e"]]))) if len(b) > 1 else [0]
+        return pd.DataFrame({"chrom": b["chrom"].iloc[0], "rank": range(len(b)), "mol": b["mol"].to_numpy()[list(found)]})
+
+    return mols.groupBy("chrom").applyInPandas(order, "chrom long, rank long, mol long")

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from functools import partial
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import statistics
 from ..functions.physics import Settings
 from ..operators import simulate
 from . import relations
@@ -23,7 +21,7 @@ ORACLE_SQL = {name: relations.duckdb_sql(name) for name in QUERIES}
 
 
 def _energies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 40")  # a fixed set of 40 molecules stands for an experiment
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")  # each vector stands for a molecule
     return v.select(F.col("vec_id").alias("mol"), F.transform("embedding", lambda x: 8.0 * x.cast("double")).alias("e"))
 
 
@@ -44,8 +42,7 @@ def _sampled(spark, sf_dir):
 
 
 def _mcmc(spark, sf_dir):
-    few = _energies(spark, sf_dir).where("mol < 8")
-    frames = simulate.trajectories(few, _SETTINGS, 2, 1, 20, 2.0, 10)
+    frames = simulate.trajectories(_energies(spark, sf_dir), _SETTINGS, 2, 1, 5, 1.0)
     return frames.select("mol", "run", "time", "energy", "temp", F.size("positions").alias("n_nuc"))
 
 
@@ -62,9 +59,9 @@ def _nu(spark, sf_dir):
 
 
 def _linkage(spark, sf_dir):
-    rows = _energies(spark, sf_dir).orderBy("mol").collect()  # a clustering order is of a bounded set of molecules
-    order = statistics.leaves(statistics.linkage(np.array([r["e"] for r in rows])))
-    return spark.createDataFrame([(k, rows[i]["mol"]) for k, i in enumerate(order)], "rank long, mol long")
+    # 200 molecules with adjoining ids stand for a chromosome, so distances take 200 x 200 numbers a group at any table size
+    rows = _energies(spark, sf_dir).withColumn("chrom", F.floor(F.col("mol") / 200))
+    return simulate.linkage_order(rows)
 
 
 def _seeds(spark, sf_dir):

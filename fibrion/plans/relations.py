@@ -94,7 +94,7 @@ R["dropout_ecdf"] = "SELECT source, chrom, mol, frac, round(100 * cume_dist() OV
 R["dense_long"] = f"""
 SELECT m.chrom, m.mol_index, m.mol, m.strand, g.pos, c.q FROM (SELECT * FROM molecules WHERE source = 'test') m CROSS JOIN grid g
 LEFT JOIN (SELECT * FROM calls WHERE source = 'test') c ON m.chrom = c.chrom AND m.mol = c.mol AND g.pos = c.pos"""
-R["to_dense_long"] = "SELECT chrom, mol_index, pos, q FROM dense_long WHERE mol_index < 8"
+R["to_dense_long"] = "SELECT chrom, mol_index, pos, q FROM dense_long"
 R["cells"] = "SELECT vec_id AS r, CAST(i AS BIGINT) AS pos, CAST(element_at_(embedding, i + 1) AS DOUBLE) AS v FROM (SELECT vec_id, embedding, EXPLODE_SEQ(0, 63) AS i FROM embeddings) x"
 R["row_mean"] = "SELECT r, round(avg(v), 6) AS mean_v, round(sum(v), 6) AS sum_v, round(min(v), 6) AS min_v, round(max(v), 6) AS max_v FROM cells GROUP BY r"
 R["col_mean_min_max_sum"] = "SELECT pos, round(coalesce(avg(v), 0), 6) AS mean_v, round(min(v), 6) AS min_v, round(max(v), 6) AS max_v, round(sum(v), 6) AS sum_v FROM cells GROUP BY pos"
@@ -109,7 +109,7 @@ R["shift_left"] = f"SELECT r, pos, lead(v, {LNUC // 2}) OVER (PARTITION BY r ORD
 R["gather_rows"] = "SELECT o.k, c.pos, round(c.v, 6) AS v FROM (SELECT CAST(0 AS BIGINT) AS k, 7 AS r UNION ALL SELECT 1, 3 UNION ALL SELECT 2, 7 UNION ALL SELECT 3, 0) o JOIN cells c ON o.r = c.r"
 R["smoothed"] = f"""
 SELECT chrom, mol_index, strand, pos, CASE WHEN pos <= {NBP - LNUC} THEN avg(q) OVER (PARTITION BY chrom, mol_index ORDER BY pos RANGE BETWEEN CURRENT ROW AND {LNUC - 1} FOLLOWING) END AS s FROM dense_long"""
-R["smooth_none"] = "SELECT chrom, mol_index, pos, round(s, 6) AS s FROM smoothed WHERE mol_index < 10"
+R["smooth_none"] = "SELECT chrom, mol_index, pos, round(s, 6) AS s FROM smoothed"
 R["smooth_mean"] = f"""
 SELECT chrom, mol_index, pos, round(CASE WHEN pos <= {NBP - LNUC} THEN coalesce(s, avg(s) OVER (PARTITION BY chrom, mol_index)) END, 6) AS s FROM smoothed"""
 R["smooth_interpolate"] = """
@@ -206,7 +206,7 @@ R["paired_summary"] = "SELECT round(avg(d), 6) AS mean_diff, CAST(sum(CASE WHEN
 R["nearest_dyad"] = "SELECT mol, s, min(d) AS dist, min(d) <= 20 AS hit FROM (SELECT c.mol, c.s, abs(c.s + 10 - CAST(y.dyad AS BIGINT)) AS d FROM (SELECT DISTINCT mol, s FROM called) c CROSS JOIN (SELECT 73 AS dyad UNION ALL SELECT 200 UNION ALL SELECT 327) y) x GROUP BY mol, s"
 R["spacing"] = "SELECT mol, s, lead(s) OVER (PARTITION BY mol ORDER BY s) - s AS gap FROM (SELECT DISTINCT mol, s FROM called) x"
 R["tool_intersection"] = "SELECT mol FROM truth INTERSECT SELECT mol FROM called"
-R["incomplete_runs"] = "SELECT e.mol, e.run FROM (SELECT mol, CAST(k AS BIGINT) AS run FROM (SELECT mol, EXPLODE_SEQ(0, 5) AS k FROM (SELECT DISTINCT mol FROM truth) y) x) e LEFT JOIN (SELECT DISTINCT l_orderkey % 97 AS mol, l_partkey % 6 AS run FROM lineitem WHERE l_linenumber = 3) g ON e.mol = g.mol AND e.run = g.run WHERE g.mol IS NULL"
+R["incomplete_runs"] = "SELECT e.mol, e.run FROM (SELECT mol, CAST(k AS BIGINT) AS run FROM (SELECT mol, EXPLODE_SEQ(0, 23) AS k FROM (SELECT DISTINCT mol FROM truth) y) x) e LEFT JOIN (SELECT DISTINCT l_orderkey % 97 AS mol, l_partkey % 24 AS run FROM lineitem WHERE l_linenumber = 7) g ON e.mol = g.mol AND e.run = g.run WHERE g.mol IS NULL"
 R["tiling"] = "SELECT CAST(least(k * 60, 400 - 100) AS BIGINT) AS lo, CAST(least(k * 60, 400 - 100) + 100 AS BIGINT) AS hi FROM (SELECT EXPLODE_SEQ(0, 5) AS k) x"
 R["bootstrap_mean"] = """
 SELECT b, round(sum(w * n) / sum(w), 6) AS mean_n FROM (SELECT c.n, CAST(k AS BIGINT) AS b, 1 + (c.mol * 7919 + k * 104729) % 3 AS w FROM interval_counts c CROSS JOIN (SELECT EXPLODE_SEQ(0, 19) AS k) y) x GROUP BY b"""
