@@ -36,6 +36,11 @@ def exact(mols: DataFrame, settings: physics.Settings) -> DataFrame:
 
 def samples(mols: DataFrame, settings: physics.Settings, nsim: int, seed: int) -> DataFrame:
     """mol, run, seed, energy, positions: exact samples."""
+    return sampled_runs(mols.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(nsim - 1)))), settings, seed)
+
+
+def sampled_runs(runs: DataFrame, settings: physics.Settings, seed: int) -> DataFrame:
+    """As `samples`, for given (mol, run, e)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -46,7 +51,6 @@ def samples(mols: DataFrame, settings: physics.Settings, nsim: int, seed: int) -
                 rows.append((mol, run_, own, physics.config_energy(pos, e, settings), pos))
             yield pd.DataFrame(rows, columns=["mol", "run", "seed", "energy", "positions"])
 
-    runs = mols.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(nsim - 1))))
     return _spread(runs, "mol", "run").mapInPandas(run, "mol long, run int, seed long, energy double, positions array<int>")
 
 

@@ -13,12 +13,15 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-NBP, LNUC, LBIN = 400, 20, 10
 EPS = "1e-4"
-R: dict[str, str] = {}
 
-# ---- data model: calls, molecules, reference sites ------------------------------------------------------------------
-R["raw_calls"] = """
+
+def build(NBP: int = 400, LNUC: int = 20, LBIN: int = 10, low: float = 0.3, high: float = 0.99, leak: float = 0.1) -> dict[str, str]:  # noqa: N803
+    """The relations for a chromosome length, a footprint and a bin width, kept dropout shares and a leak rate."""
+    R: dict[str, str] = {}
+
+    # ---- data model: calls, molecules, reference sites ------------------------------------------------------------------
+    R["raw_calls"] = """
 SELECT CASE WHEN l_linenumber <= 4 THEN 'test' WHEN l_linenumber = 5 THEN 'meth' ELSE 'unmeth' END AS source,
        concat('c', CAST(l_suppkey % 4 AS STRING)) AS chrom, CAST(l_orderkey % 97 AS BIGINT) AS mol,
        CAST(l_partkey % 800 AS BIGINT) AS upos, CAST(l_partkey % 400 AS BIGINT) AS pos,
@@ -26,199 +29,203 @@ SELECT CASE WHEN l_linenumber <= 4 THEN 'test' WHEN l_linenumber = 5 THEN 'meth'
        CASE l_returnflag WHEN 'N' THEN '-' WHEN 'A' THEN 'a' ELSE 'm' END AS mod_code,
        round(l_discount * 10, 1) AS q
 FROM lineitem"""
-R["calls"] = """
+    R["calls"] = """
 SELECT source, chrom, mol, pos, strand, round(avg(q), 6) AS q FROM raw_calls WHERE mod_code <> '-' GROUP BY source, chrom, mol, pos, strand"""
-R["molecules"] = """
+    R["molecules"] = """
 SELECT source, chrom, mol, min(strand) AS strand, CAST(row_number() OVER (PARTITION BY source, chrom ORDER BY lpad(CAST(mol AS STRING), 4, '0')) - 1 AS BIGINT) AS mol_index
 FROM raw_calls GROUP BY source, chrom, mol"""
-R["grid"] = f"SELECT CAST(p AS BIGINT) AS pos FROM (SELECT EXPLODE_SEQ(0, {NBP - 1}) AS p) x"
-R["bases"] = """
+    R["grid"] = f"SELECT CAST(p AS BIGINT) AS pos FROM (SELECT EXPLODE_SEQ(0, {NBP - 1}) AS p) x"
+    R["bases"] = """
 SELECT concat('c', CAST(c AS STRING)) AS chrom, pos, substr('ACGT', CAST(1 + ((pos*pos*31 + pos*17 + c*7 + (pos*pos*pos) % 101) % 4) AS INT), 1) AS base
 FROM grid CROSS JOIN (SELECT CAST(k AS BIGINT) AS c FROM (SELECT EXPLODE_SEQ(0, 3) AS k) y) z"""
-R["neighbours"] = """
+    R["neighbours"] = """
 SELECT chrom, pos, base, coalesce(lag(base) OVER (PARTITION BY chrom ORDER BY pos), 'N') AS prev, coalesce(lead(base) OVER (PARTITION BY chrom ORDER BY pos), 'N') AS next FROM bases"""
-R["site_masks"] = """
+    R["site_masks"] = """
 SELECT chrom, pos, base = 'A' AS plus_a, base = 'T' AS minus_a,
        base = 'C' AND next = 'G' AS plus_cg, base = 'G' AND prev = 'C' AS minus_cg,
        base = 'C' AND prev = 'G' AS plus_gc, base = 'G' AND next = 'C' AS minus_gc
 FROM neighbours"""
-R["site_channels"] = """
+    R["site_channels"] = """
 SELECT chrom, pos, CAST(CASE WHEN base IN ('A', 'T') THEN 1
   WHEN ((base = 'C' AND next = 'G') OR (base = 'G' AND prev = 'C')) AND ((base = 'C' AND prev = 'G') OR (base = 'G' AND next = 'C')) THEN 4
   WHEN (base = 'C' AND prev = 'G') OR (base = 'G' AND next = 'C') THEN 2
   WHEN (base = 'C' AND next = 'G') OR (base = 'G' AND prev = 'C') THEN 3 ELSE 0 END AS BIGINT) AS channel
 FROM neighbours"""
-R["assay_masks"] = """
+    R["assay_masks"] = """
 SELECT m.chrom, m.pos, c.channel, (plus_a OR plus_cg OR plus_gc) AND channel <> 0 AS assay_plus, (minus_a OR minus_cg OR minus_gc) AND channel <> 0 AS assay_minus
 FROM site_masks m JOIN site_channels c ON m.chrom = c.chrom AND m.pos = c.pos"""
-R["wrap_contexts"] = f"""
+    R["wrap_contexts"] = f"""
 SELECT a.chrom, a.pos, CASE WHEN a.channel = b.channel THEN a.channel ELSE CAST(0 AS BIGINT) END AS channel, a.channel <> b.channel AS disagree
 FROM site_channels a JOIN site_channels b ON a.chrom = b.chrom AND b.pos = {NBP - 1} - a.pos WHERE a.pos < {NBP // 2}"""
-R["call_filter"] = "SELECT source, chrom, mol, pos, strand, mod_code, q FROM raw_calls WHERE mod_code <> '-'"
-R["fold_positions"] = "SELECT source, chrom, mol, upos, CASE WHEN upos > 399.5 THEN 800 - upos - 1 ELSE upos END AS fpos FROM raw_calls"
-R["mol_dictionary"] = "SELECT source, chrom, mol, mol_index FROM molecules"
-R["mol_cap"] = """
+    R["call_filter"] = "SELECT source, chrom, mol, pos, strand, mod_code, q FROM raw_calls WHERE mod_code <> '-'"
+    R["fold_positions"] = "SELECT source, chrom, mol, upos, CASE WHEN upos > 399.5 THEN 800 - upos - 1 ELSE upos END AS fpos FROM raw_calls"
+    R["mol_dictionary"] = "SELECT source, chrom, mol, mol_index FROM molecules"
+    R["mol_cap"] = """
 SELECT source, chrom, mol, mol_index FROM (SELECT *, row_number() OVER (PARTITION BY source, chrom ORDER BY md5(concat('7:', CAST(mol AS STRING)))) AS k FROM molecules) x WHERE k <= 10"""
-R["chrom_set_check"] = """
+    R["chrom_set_check"] = """
 SELECT source, count(DISTINCT chrom) AS chroms, count(DISTINCT chrom) = (SELECT count(DISTINCT chrom) FROM raw_calls WHERE source = 'test') AS same FROM raw_calls GROUP BY source"""
-for _name, _any in (("strand_filter", False), ("strand_filter_ignore", True)):
-    _both = "(assay_plus OR assay_minus)"
-    R[_name] = f"""
+    for _name, _any in (("strand_filter", False), ("strand_filter_ignore", True)):
+        _both = "(assay_plus OR assay_minus)"
+        R[_name] = f"""
 SELECT c.source, c.chrom, c.mol, c.pos, c.strand, c.q FROM calls c JOIN assay_masks s ON c.chrom = s.chrom AND c.pos = s.pos
 WHERE {_both if _any else "CASE c.strand WHEN '+' THEN assay_plus WHEN '-' THEN assay_minus ELSE true END"}"""
 
-# ---- quality control --------------------------------------------------------------------------------------------------
-R["label_sites"] = """
+    # ---- quality control --------------------------------------------------------------------------------------------------
+    R["label_sites"] = """
 SELECT chrom, pos, label, plus_, minus_ FROM (
   SELECT chrom, pos, 'A' AS label, plus_a AS plus_, minus_a AS minus_ FROM site_masks
   UNION ALL SELECT chrom, pos, 'CG', plus_cg, minus_cg FROM site_masks UNION ALL SELECT chrom, pos, 'GC', plus_gc, minus_gc FROM site_masks) x WHERE plus_ OR minus_"""
-R["label_totals"] = """
+    R["label_totals"] = """
 SELECT chrom, label, s.strand, CAST(sum(CASE s.strand WHEN '+' THEN CASE WHEN plus_ THEN 1 ELSE 0 END WHEN '-' THEN CASE WHEN minus_ THEN 1 ELSE 0 END ELSE 1 END) AS BIGINT) AS total
 FROM label_sites CROSS JOIN (SELECT '+' AS strand UNION ALL SELECT '-' UNION ALL SELECT '.') s GROUP BY chrom, label, s.strand"""
-R["coverage"] = """
+    R["coverage"] = """
 SELECT m.source, m.chrom, m.mol, m.strand, t.label, t.total, coalesce(k.covered, 0) AS covered
 FROM molecules m JOIN label_totals t ON m.chrom = t.chrom AND m.strand = t.strand
 LEFT JOIN (SELECT c.source, c.chrom, c.mol, l.label, count(*) AS covered FROM calls c JOIN label_sites l ON c.chrom = l.chrom AND c.pos = l.pos
   WHERE CASE c.strand WHEN '+' THEN plus_ WHEN '-' THEN minus_ ELSE true END GROUP BY c.source, c.chrom, c.mol, l.label) k
 ON m.source = k.source AND m.chrom = k.chrom AND m.mol = k.mol AND t.label = k.label"""
-R["dropout_fractions"] = "SELECT source, chrom, mol, label, round(CASE WHEN total = 0 THEN 0.0 ELSE 1 - CAST(covered AS DOUBLE) / total END, 6) AS frac FROM coverage"
-R["dropout_mask_separate"] = "SELECT source, chrom, mol, bool_and(frac BETWEEN 0.3 AND 0.99) AS keep FROM dropout_fractions GROUP BY source, chrom, mol"
-R["pooled_fractions"] = "SELECT source, chrom, mol, round(CASE WHEN sum(total) = 0 THEN 0.0 ELSE 1 - CAST(sum(covered) AS DOUBLE) / sum(total) END, 6) AS frac FROM coverage GROUP BY source, chrom, mol"
-R["dropout_mask_aggregate"] = "SELECT source, chrom, mol, frac BETWEEN 0.3 AND 0.99 AS keep FROM pooled_fractions"
-R["dropout_summary"] = """
+    R["dropout_fractions"] = "SELECT source, chrom, mol, label, round(CASE WHEN total = 0 THEN 0.0 ELSE 1 - CAST(covered AS DOUBLE) / total END, 6) AS frac FROM coverage"
+    R["dropout_mask_separate"] = f"SELECT source, chrom, mol, bool_and(frac BETWEEN {low} AND {high}) AS keep FROM dropout_fractions GROUP BY source, chrom, mol"
+    R["pooled_fractions"] = "SELECT source, chrom, mol, round(CASE WHEN sum(total) = 0 THEN 0.0 ELSE 1 - CAST(sum(covered) AS DOUBLE) / sum(total) END, 6) AS frac FROM coverage GROUP BY source, chrom, mol"
+    R["dropout_mask_aggregate"] = f"SELECT source, chrom, mol, frac BETWEEN {low} AND {high} AS keep FROM pooled_fractions"
+    R["dropout_summary"] = """
 SELECT chrom, source, label, count(*) AS n_mol, round(min(frac), 6) AS p0, round(PCTL(frac, 0.25), 6) AS p25, round(PCTL(frac, 0.5), 6) AS p50, round(PCTL(frac, 0.75), 6) AS p75, round(max(frac), 6) AS p100
 FROM (SELECT chrom, source, label, frac FROM dropout_fractions UNION ALL SELECT chrom, source, 'aggregate', frac FROM pooled_fractions) x GROUP BY chrom, source, label"""
-R["dropout_ecdf"] = "SELECT source, chrom, mol, frac, round(100 * cume_dist() OVER (PARTITION BY source, chrom ORDER BY frac), 6) AS ecdf FROM pooled_fractions"
+    R["dropout_ecdf"] = "SELECT source, chrom, mol, frac, round(100 * cume_dist() OVER (PARTITION BY source, chrom ORDER BY frac), 6) AS ecdf FROM pooled_fractions"
 
-# ---- dense matrices -----------------------------------------------------------------------------------------------------
-R["dense_long"] = f"""
+    # ---- dense matrices -----------------------------------------------------------------------------------------------------
+    R["dense_long"] = f"""
 SELECT m.chrom, m.mol_index, m.mol, m.strand, g.pos, c.q FROM (SELECT * FROM molecules WHERE source = 'test') m CROSS JOIN grid g
 LEFT JOIN (SELECT * FROM calls WHERE source = 'test') c ON m.chrom = c.chrom AND m.mol = c.mol AND g.pos = c.pos"""
-R["to_dense_long"] = "SELECT chrom, mol_index, pos, q FROM dense_long"
-R["cells"] = "SELECT vec_id AS r, CAST(i AS BIGINT) AS pos, CAST(element_at_(embedding, i + 1) AS DOUBLE) AS v FROM (SELECT vec_id, embedding, EXPLODE_SEQ(0, 63) AS i FROM embeddings) x"
-R["row_mean"] = "SELECT r, round(avg(v), 6) AS mean_v, round(sum(v), 6) AS sum_v, round(min(v), 6) AS min_v, round(max(v), 6) AS max_v FROM cells GROUP BY r"
-R["col_mean_min_max_sum"] = "SELECT pos, round(coalesce(avg(v), 0), 6) AS mean_v, round(min(v), 6) AS min_v, round(max(v), 6) AS max_v, round(sum(v), 6) AS sum_v FROM cells GROUP BY pos"
-R["row_edges"] = """
+    R["to_dense_long"] = "SELECT chrom, mol_index, pos, q FROM dense_long"
+    R["cells"] = "SELECT vec_id AS r, CAST(i AS BIGINT) AS pos, CAST(element_at_(embedding, i + 1) AS DOUBLE) AS v FROM (SELECT vec_id, embedding, EXPLODE_SEQ(0, 63) AS i FROM embeddings) x"
+    R["row_mean"] = "SELECT r, round(avg(v), 6) AS mean_v, round(sum(v), 6) AS sum_v, round(min(v), 6) AS min_v, round(max(v), 6) AS max_v FROM cells GROUP BY r"
+    R["col_mean_min_max_sum"] = "SELECT pos, round(coalesce(avg(v), 0), 6) AS mean_v, round(min(v), 6) AS min_v, round(max(v), 6) AS max_v, round(sum(v), 6) AS sum_v FROM cells GROUP BY pos"
+    R["row_edges"] = """
 SELECT r, (SELECT count(DISTINCT vec_id) FROM embeddings) AS n, row_number() OVER (ORDER BY r) - 1 AS k FROM (SELECT DISTINCT vec_id AS r FROM embeddings) x"""
-R["downsample_mean"] = """
+    R["downsample_mean"] = """
 SELECT bin, pos, round(avg(v), 6) AS mean_v FROM (
   SELECT c.pos, c.v, CAST(ceil((e.k + 1) * 20.0 / e.n) - 1 AS BIGINT) AS bin FROM cells c JOIN row_edges e ON c.r = e.r) x GROUP BY bin, pos"""
-R["downsample_stride"] = "SELECT e.k AS row_, c.pos, round(c.v, 6) AS v FROM cells c JOIN row_edges e ON c.r = e.r WHERE e.k % ceil(e.n / 20.0) = 0"
-R["shift_center"] = f"SELECT r, pos, lag(v, {LNUC // 2}) OVER (PARTITION BY r ORDER BY pos) AS v FROM cells"
-R["shift_left"] = f"SELECT r, pos, lead(v, {LNUC // 2}) OVER (PARTITION BY r ORDER BY pos) AS v FROM cells"
-R["gather_rows"] = "SELECT o.k, c.pos, round(c.v, 6) AS v FROM (SELECT CAST(0 AS BIGINT) AS k, 7 AS r UNION ALL SELECT 1, 3 UNION ALL SELECT 2, 7 UNION ALL SELECT 3, 0) o JOIN cells c ON o.r = c.r"
-R["smoothed"] = f"""
+    R["downsample_stride"] = "SELECT e.k AS row_, c.pos, round(c.v, 6) AS v FROM cells c JOIN row_edges e ON c.r = e.r WHERE e.k % ceil(e.n / 20.0) = 0"
+    R["shift_center"] = f"SELECT r, pos, lag(v, {LNUC // 2}) OVER (PARTITION BY r ORDER BY pos) AS v FROM cells"
+    R["shift_left"] = f"SELECT r, pos, lead(v, {LNUC // 2}) OVER (PARTITION BY r ORDER BY pos) AS v FROM cells"
+    R["gather_rows"] = "SELECT o.k, c.pos, round(c.v, 6) AS v FROM (SELECT CAST(0 AS BIGINT) AS k, 7 AS r UNION ALL SELECT 1, 3 UNION ALL SELECT 2, 7 UNION ALL SELECT 3, 0) o JOIN cells c ON o.r = c.r"
+    R["smoothed"] = f"""
 SELECT chrom, mol_index, strand, pos, CASE WHEN pos <= {NBP - LNUC} THEN avg(q) OVER (PARTITION BY chrom, mol_index ORDER BY pos RANGE BETWEEN CURRENT ROW AND {LNUC - 1} FOLLOWING) END AS s FROM dense_long"""
-R["smooth_none"] = "SELECT chrom, mol_index, pos, round(s, 6) AS s FROM smoothed"
-R["smooth_mean"] = f"""
+    R["smooth_none"] = "SELECT chrom, mol_index, pos, round(s, 6) AS s FROM smoothed"
+    R["smooth_mean"] = f"""
 SELECT chrom, mol_index, pos, round(CASE WHEN pos <= {NBP - LNUC} THEN coalesce(s, avg(s) OVER (PARTITION BY chrom, mol_index)) END, 6) AS s FROM smoothed"""
-R["smooth_interpolate"] = """
+    R["smooth_interpolate"] = """
 SELECT chrom, mol_index, pos, round(coalesce(s, CASE WHEN p0 IS NOT NULL AND p1 IS NOT NULL THEN s0 + (s1 - s0) * (pos - p0) / CAST(p1 - p0 AS DOUBLE) END), 6) AS s FROM (
   SELECT chrom, mol_index, pos, s, LAST_(s) AS s0, LAST_(CASE WHEN s IS NOT NULL THEN pos END) AS p0, FIRST_(s) AS s1, FIRST_(CASE WHEN s IS NOT NULL THEN pos END) AS p1 FROM smoothed) x"""
 
-# ---- empirical probabilities ------------------------------------------------------------------------------------------------
-R["control_means"] = "SELECT chrom, pos, round(avg(CASE WHEN source = 'meth' THEN q END), 9) AS meth, round(avg(CASE WHEN source = 'unmeth' THEN q END), 9) AS unmeth FROM calls WHERE source <> 'test' GROUP BY chrom, pos"
-R["control_means_strand"] = "SELECT chrom, strand, pos, round(avg(CASE WHEN source = 'meth' THEN q END), 9) AS meth, round(avg(CASE WHEN source = 'unmeth' THEN q END), 9) AS unmeth FROM calls WHERE source <> 'test' AND strand <> '.' GROUP BY chrom, strand, pos"
-_NORM = "(s - unmeth) / CASE WHEN abs(meth - unmeth) < 1e-9 THEN 1e-9 ELSE meth - unmeth END"
-R["normalised"] = f"SELECT x.chrom, x.mol_index, x.pos, round({_NORM}, 6) AS n FROM smoothed x LEFT JOIN control_means c ON x.chrom = c.chrom AND x.pos = c.pos"
-R["normalised_strand"] = f"SELECT x.chrom, x.mol_index, x.pos, round({_NORM}, 6) AS n FROM smoothed x LEFT JOIN control_means_strand c ON x.chrom = c.chrom AND x.pos = c.pos AND x.strand = c.strand WHERE x.strand <> '.'"
-for _s in ("", "_strand"):
-    R[f"clip_bounds{_s}"] = f"SELECT chrom, round(PCTL(n, 0.001), 6) AS lo, round(PCTL(n, 0.999), 6) AS hi FROM normalised{_s} WHERE pos < {NBP - LNUC + 1} AND n IS NOT NULL GROUP BY chrom"
-    R[f"empirical_prob{_s}"] = f"""
+    # ---- empirical probabilities ------------------------------------------------------------------------------------------------
+    R["control_means"] = "SELECT chrom, pos, round(avg(CASE WHEN source = 'meth' THEN q END), 9) AS meth, round(avg(CASE WHEN source = 'unmeth' THEN q END), 9) AS unmeth FROM calls WHERE source <> 'test' GROUP BY chrom, pos"
+    R["control_means_strand"] = "SELECT chrom, strand, pos, round(avg(CASE WHEN source = 'meth' THEN q END), 9) AS meth, round(avg(CASE WHEN source = 'unmeth' THEN q END), 9) AS unmeth FROM calls WHERE source <> 'test' AND strand <> '.' GROUP BY chrom, strand, pos"
+    _NORM = "(s - unmeth) / CASE WHEN abs(meth - unmeth) < 1e-9 THEN 1e-9 ELSE meth - unmeth END"
+    R["normalised"] = f"SELECT x.chrom, x.mol_index, x.pos, round({_NORM}, 6) AS n FROM smoothed x LEFT JOIN control_means c ON x.chrom = c.chrom AND x.pos = c.pos"
+    R["normalised_strand"] = f"SELECT x.chrom, x.mol_index, x.pos, round({_NORM}, 6) AS n FROM smoothed x LEFT JOIN control_means_strand c ON x.chrom = c.chrom AND x.pos = c.pos AND x.strand = c.strand WHERE x.strand <> '.'"
+    for _s in ("", "_strand"):
+        R[f"clip_bounds{_s}"] = f"SELECT chrom, round(PCTL(n, 0.001), 6) AS lo, round(PCTL(n, 0.999), 6) AS hi FROM normalised{_s} WHERE pos < {NBP - LNUC + 1} AND n IS NOT NULL GROUP BY chrom"
+        R[f"empirical_prob{_s}"] = f"""
 SELECT x.chrom, x.mol_index, x.pos, round(CASE WHEN x.pos <= {NBP - LNUC} THEN coalesce(greatest(0.0, least(1.0, (n - lo) / greatest(hi - lo, 1e-12))), 0.5) END, 6) AS p
 FROM normalised{_s} x JOIN clip_bounds{_s} b ON x.chrom = b.chrom"""
 
-# ---- read sites, controls, model ---------------------------------------------------------------------------------------------
-R["read_sites"] = """
+    # ---- read sites, controls, model ---------------------------------------------------------------------------------------------
+    R["read_sites"] = """
 SELECT m.source, m.chrom, m.mol, m.strand, s.pos, s.channel, c.q IS NOT NULL AS called, coalesce(c.q, 0.0) AS q
 FROM molecules m JOIN assay_masks s ON m.chrom = s.chrom
 LEFT JOIN calls c ON m.source = c.source AND m.chrom = c.chrom AND m.mol = c.mol AND s.pos = c.pos
 WHERE s.channel <> 0 AND (c.q IS NOT NULL OR CASE m.strand WHEN '+' THEN assay_plus WHEN '-' THEN assay_minus ELSE false END)"""
-R["read_sites_summary"] = "SELECT source, chrom, mol, channel, count(*) AS n_read, CAST(sum(CASE WHEN called THEN 1 ELSE 0 END) AS BIGINT) AS n_called, round(sum(q), 6) AS k FROM read_sites GROUP BY source, chrom, mol, channel"
-R["read_sites_span"] = """
+    R["read_sites_summary"] = "SELECT source, chrom, mol, channel, count(*) AS n_read, CAST(sum(CASE WHEN called THEN 1 ELSE 0 END) AS BIGINT) AS n_called, round(sum(q), 6) AS k FROM read_sites GROUP BY source, chrom, mol, channel"
+    R["read_sites_span"] = """
 SELECT r.source, r.chrom, r.mol, count(*) AS n_read, round(sum(r.q), 6) AS k FROM read_sites r
 JOIN (SELECT source, chrom, mol, min(pos) AS lo, max(pos) AS hi FROM read_sites WHERE called GROUP BY source, chrom, mol) b
 ON r.source = b.source AND r.chrom = b.chrom AND r.mol = b.mol WHERE r.pos BETWEEN b.lo AND b.hi GROUP BY r.source, r.chrom, r.mol"""
-R["q_thres"] = "SELECT source, chrom, pos, count(*) AS n, CAST(sum(CASE WHEN q >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS k FROM read_sites GROUP BY source, chrom, pos"
-R["control_counts"] = "SELECT source, chrom, pos, channel, round(sum(q), 6) AS k, CAST(count(*) AS DOUBLE) AS n FROM read_sites GROUP BY source, chrom, pos, channel"
-R["call_fractions"] = "SELECT source, channel, round(avg(CASE WHEN called THEN 1.0 ELSE 0.0 END), 6) AS frac FROM read_sites GROUP BY source, channel"
-R["rates"] = f"""
+    R["q_thres"] = "SELECT source, chrom, pos, count(*) AS n, CAST(sum(CASE WHEN q >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS k FROM read_sites GROUP BY source, chrom, pos"
+    R["control_counts"] = "SELECT source, chrom, pos, channel, round(sum(q), 6) AS k, CAST(count(*) AS DOUBLE) AS n FROM read_sites GROUP BY source, chrom, pos, channel"
+    R["call_fractions"] = "SELECT source, channel, round(avg(CASE WHEN called THEN 1.0 ELSE 0.0 END), 6) AS frac FROM read_sites GROUP BY source, channel"
+    R["rates"] = f"""
 SELECT source, chrom, pos, channel, greatest({EPS}, least(1 - {EPS}, (k + 10 * sum(k) OVER (PARTITION BY source, chrom, channel) / sum(n) OVER (PARTITION BY source, chrom, channel)) / (n + 10))) AS rate FROM control_counts"""
-R["shrunk_rates"] = "SELECT source, chrom, pos, channel, round(rate, 6) AS rate FROM rates"
-R["profiles"] = """
+    R["shrunk_rates"] = "SELECT source, chrom, pos, channel, round(rate, 6) AS rate FROM rates"
+    R["profiles"] = """
 SELECT f.chrom, f.pos, f.channel, f.rate AS f, a.rate AS a, a.rate - f.rate > 1e-9 AS informative
 FROM rates f JOIN rates a ON f.chrom = a.chrom AND f.pos = a.pos WHERE f.source = 'unmeth' AND a.source = 'meth'"""
-R["control_profiles"] = "SELECT chrom, pos, channel, round(f, 6) AS f, round(a, 6) AS a, informative FROM profiles"
-R["thetas"] = f"SELECT chrom, pos, channel, informative, greatest({EPS}, least(1 - {EPS}, f + 0.1 * (a - f))) AS theta_prot, a AS theta_acc FROM profiles"
-R["leak_rates"] = "SELECT chrom, pos, channel, informative, round(theta_prot, 6) AS theta_prot, round(theta_acc, 6) AS theta_acc FROM thetas"
-R["informative_fraction"] = "SELECT chrom, channel, round(avg(CASE WHEN informative THEN 1.0 ELSE 0.0 END), 6) AS frac FROM profiles GROUP BY chrom, channel"
-R["window_counts"] = f"""
+    R["control_profiles"] = "SELECT chrom, pos, channel, round(f, 6) AS f, round(a, 6) AS a, informative FROM profiles"
+    R["thetas"] = f"SELECT chrom, pos, channel, informative, greatest({EPS}, least(1 - {EPS}, f + {leak} * (a - f))) AS theta_prot, a AS theta_acc FROM profiles"
+    R["leak_rates"] = "SELECT chrom, pos, channel, informative, round(theta_prot, 6) AS theta_prot, round(theta_acc, 6) AS theta_acc FROM thetas"
+    R["informative_fraction"] = "SELECT chrom, channel, round(avg(CASE WHEN informative THEN 1.0 ELSE 0.0 END), 6) AS frac FROM profiles GROUP BY chrom, channel"
+    R["window_counts"] = f"""
 SELECT r.chrom, r.mol, FLOORDIV(r.pos, {LBIN}) AS bin, r.channel, round(sum(r.q), 6) AS k, count(*) AS n, round(sum(p.f), 6) AS sf, round(sum(p.a - p.f), 6) AS sd
 FROM read_sites r JOIN profiles p ON r.chrom = p.chrom AND r.pos = p.pos WHERE r.source = 'test' AND p.informative GROUP BY r.chrom, r.mol, FLOORDIV(r.pos, {LBIN}), r.channel"""
-R["log_odds"] = """
+    R["log_odds"] = """
 SELECT r.chrom, r.mol, r.pos, r.channel, CASE WHEN t.informative THEN r.q * (ln(theta_prot) - ln(theta_acc)) + (1 - r.q) * (ln(1 - theta_prot) - ln(1 - theta_acc)) ELSE 0.0 END AS lam, t.informative
 FROM read_sites r JOIN thetas t ON r.chrom = t.chrom AND r.pos = t.pos WHERE r.source = 'test'"""
-R["site_log_odds"] = "SELECT chrom, mol, pos, round(lam, 6) AS lam FROM log_odds"
-R["windows"] = f"""
+    R["site_log_odds"] = "SELECT chrom, mol, pos, round(lam, 6) AS lam FROM log_odds"
+    R["windows"] = f"""
 SELECT m.chrom, m.mol, g.pos, CASE WHEN g.pos <= {NBP - LNUC} THEN sum(coalesce(l.lam, 0.0)) OVER (PARTITION BY m.chrom, m.mol ORDER BY g.pos RANGE BETWEEN CURRENT ROW AND {LNUC - 1} FOLLOWING) END AS w
 FROM (SELECT DISTINCT chrom, mol FROM log_odds) m CROSS JOIN grid g LEFT JOIN log_odds l ON m.chrom = l.chrom AND m.mol = l.mol AND g.pos = l.pos"""
-R["window_sum"] = "SELECT chrom, mol, pos, round(w, 6) AS w FROM windows"
-R["model_prob_fixed"] = "SELECT chrom, mol, pos, round(1 / (1 + exp(w)), 6) AS p FROM windows"
-R["lam_ranked"] = "SELECT chrom, mol, channel, pos, lam FROM log_odds WHERE informative"
-R["autocorr_stats"] = """
+    R["window_sum"] = "SELECT chrom, mol, pos, round(w, 6) AS w FROM windows"
+    R["model_prob_fixed"] = "SELECT chrom, mol, pos, round(1 / (1 + exp(w)), 6) AS p FROM windows"
+    R["lam_ranked"] = "SELECT chrom, mol, channel, pos, lam FROM log_odds WHERE informative"
+    R["autocorr_stats"] = """
 SELECT a.channel, b.pos - a.pos AS lag_, count(*) AS npair, round(sum(a.lam * b.lam), 6) AS sxy, round(sum(a.lam), 6) AS sx, round(sum(b.lam), 6) AS sy
 FROM lam_ranked a JOIN lam_ranked b ON a.chrom = b.chrom AND a.mol = b.mol AND a.channel = b.channel WHERE b.pos - a.pos BETWEEN 1 AND 10 GROUP BY a.channel, b.pos - a.pos"""
-R["eta_closed_form"] = """
+    R["eta_closed_form"] = """
 SELECT s.channel, round(1 / greatest(1 + 2 * sum((sxy - m * sx - m * sy + npair * m * m) / (s2 - n * m * m)), 1e-3), 4) AS eta
 FROM (SELECT channel, count(*) AS n, sum(lam) / count(*) AS m, sum(lam * lam) AS s2 FROM lam_ranked GROUP BY channel) s JOIN autocorr_stats a ON s.channel = a.channel GROUP BY s.channel"""
-R["em_loglik_step"] = f"""
+    R["em_loglik_step"] = f"""
 SELECT channel, round(sum(w * k) / sum(w * n), 6) AS rate_prot, round(sum((1 - w) * k) / sum((1 - w) * n), 6) AS rate_acc FROM (
   SELECT x.channel, x.k, x.n, 1 / (1 + exp(greatest(-50.0, least(50.0, y.la - y.lp)))) AS w FROM window_counts x JOIN (
     SELECT chrom, mol, bin, ln(0.75) + sum(k * ln(0.05) + (n - k) * ln(0.95)) AS lp, ln(0.25) + sum(k * ln(0.95) + (n - k) * ln(0.05)) AS la FROM window_counts GROUP BY chrom, mol, bin) y
   ON x.chrom = y.chrom AND x.mol = y.mol AND x.bin = y.bin) z GROUP BY channel"""
-R["energies"] = "SELECT r, pos, 8 * v AS e FROM cells"
-R["start_temperature"] = "SELECT round(PCTL(abs(e), 0.9), 6) AS t0 FROM energies"
-R["median_mu"] = "SELECT round(avg(med), 6) AS mu FROM (SELECT r % 4 AS chrom, PCTL(e, 0.5) AS med FROM energies GROUP BY r % 4) x"
-R["energy_clamp"] = "SELECT r, pos, round(greatest(-1.5, least(1.5, e)), 6) AS e FROM energies"
+    R["energies"] = "SELECT r, pos, 8 * v AS e FROM cells"
+    R["start_temperature"] = "SELECT round(PCTL(abs(e), 0.9), 6) AS t0 FROM energies"
+    R["median_mu"] = "SELECT round(avg(med), 6) AS mu FROM (SELECT r % 4 AS chrom, PCTL(e, 0.5) AS med FROM energies GROUP BY r % 4) x"
+    R["energy_clamp"] = "SELECT r, pos, round(greatest(-1.5, least(1.5, e)), 6) AS e FROM energies"
 
-# ---- occupancy, intervals, scores ----------------------------------------------------------------------------------------------
-R["truth"] = "SELECT CAST(l_orderkey % 97 AS BIGINT) AS mol, CAST(l_partkey % 400 AS BIGINT) AS s FROM lineitem WHERE l_linenumber = 1"
-R["called"] = "SELECT CAST(l_orderkey % 97 AS BIGINT) AS mol, CAST(l_partkey % 400 AS BIGINT) AS s FROM lineitem WHERE l_linenumber = 2"
-for _n in ("truth", "called"):
-    R[f"{_n}_steps"] = f"SELECT mol, pos, sum(d) AS d FROM (SELECT mol, s AS pos, 1 AS d FROM {_n} UNION ALL SELECT mol, s + 20, -1 FROM {_n}) x GROUP BY mol, pos"
-    R[f"{_n}_occ"] = f"""
+    # ---- occupancy, intervals, scores ----------------------------------------------------------------------------------------------
+    R["truth"] = "SELECT CAST(l_orderkey % 97 AS BIGINT) AS mol, CAST(l_partkey % 400 AS BIGINT) AS s FROM lineitem WHERE l_linenumber = 1"
+    R["called"] = "SELECT CAST(l_orderkey % 97 AS BIGINT) AS mol, CAST(l_partkey % 400 AS BIGINT) AS s FROM lineitem WHERE l_linenumber = 2"
+    for _n in ("truth", "called"):
+        R[f"{_n}_steps"] = f"SELECT mol, pos, sum(d) AS d FROM (SELECT mol, s AS pos, 1 AS d FROM {_n} UNION ALL SELECT mol, s + 20, -1 FROM {_n}) x GROUP BY mol, pos"
+        R[f"{_n}_occ"] = f"""
 SELECT mol, pos, CAST(sum(d) OVER (PARTITION BY mol ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS occ FROM (
   SELECT m.mol, g.pos, coalesce(t.d, 0) AS d FROM (SELECT DISTINCT mol FROM {_n}) m CROSS JOIN grid g LEFT JOIN {_n}_steps t ON m.mol = t.mol AND g.pos = t.pos) x"""
-R["occupancy_from_intervals"] = "SELECT mol, pos, occ FROM truth_occ"
-R["interval_counts"] = "SELECT mol, count(*) AS n FROM truth GROUP BY mol"
-R["mean_count"] = "SELECT round(avg(n), 6) AS mean_n, round(var_pop(n), 6) AS var_n FROM interval_counts"
-R["access"] = "SELECT mol, pos, 1.0 - CASE WHEN occ > 0 THEN 1.0 ELSE 0.0 END AS acc FROM truth_occ"
-R["occupancy_runs"] = """
+    R["occupancy_from_intervals"] = "SELECT mol, pos, occ FROM truth_occ"
+    R["interval_counts"] = "SELECT mol, count(*) AS n FROM truth GROUP BY mol"
+    R["mean_count"] = "SELECT round(avg(n), 6) AS mean_n, round(var_pop(n), 6) AS var_n FROM interval_counts"
+    R["access"] = "SELECT mol, pos, 1.0 - CASE WHEN occ > 0 THEN 1.0 ELSE 0.0 END AS acc FROM truth_occ"
+    R["occupancy_runs"] = """
 SELECT mol, min(pos) AS run_start, max(pos) + 1 AS run_end FROM (
   SELECT mol, pos, pos - row_number() OVER (PARTITION BY mol ORDER BY pos) AS grp FROM truth_occ WHERE occ > 0) x GROUP BY mol, grp"""
-R["mcc_per_mol"] = """
+    R["mcc_per_mol"] = """
 SELECT mol, tp, fp, fn, tn, round(CASE WHEN (tp+fp)*(tp+fn)*(tn+fp)*(tn+fn) = 0 THEN 0.0 ELSE (tp*tn - fp*fn) / (sqrt(tp+fp)*sqrt(tp+fn)*sqrt(tn+fp)*sqrt(tn+fn)) END, 6) AS mcc FROM (
   SELECT t.mol, sum(CASE WHEN t.occ > 0 AND c.occ > 0 THEN 1.0 ELSE 0.0 END) AS tp, sum(CASE WHEN t.occ = 0 AND c.occ > 0 THEN 1.0 ELSE 0.0 END) AS fp,
          sum(CASE WHEN t.occ > 0 AND c.occ = 0 THEN 1.0 ELSE 0.0 END) AS fn, sum(CASE WHEN t.occ = 0 AND c.occ = 0 THEN 1.0 ELSE 0.0 END) AS tn
   FROM truth_occ t JOIN called_occ c ON t.mol = c.mol AND t.pos = c.pos WHERE t.pos BETWEEN 20 AND 379 GROUP BY t.mol) x"""
-R["score_summary"] = "SELECT set_, count(*) AS n, round(avg(m), 6) AS mean_mcc, round(coalesce(stddev_samp(m), 0.0), 6) AS sd FROM (SELECT mol % 6 AS cond, mol % 2 AS set_, avg(mcc) AS m FROM mcc_per_mol GROUP BY mol % 6, mol % 2) x GROUP BY set_"
-R["paired_summary"] = "SELECT round(avg(d), 6) AS mean_diff, CAST(sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS BIGINT) AS wins FROM (SELECT a.mol, a.n - b.n AS d FROM interval_counts a JOIN (SELECT mol, count(*) AS n FROM called GROUP BY mol) b ON a.mol = b.mol) x"
-R["nearest_dyad"] = "SELECT mol, s, min(d) AS dist, min(d) <= 20 AS hit FROM (SELECT c.mol, c.s, abs(c.s + 10 - CAST(y.dyad AS BIGINT)) AS d FROM (SELECT DISTINCT mol, s FROM called) c CROSS JOIN (SELECT 73 AS dyad UNION ALL SELECT 200 UNION ALL SELECT 327) y) x GROUP BY mol, s"
-R["spacing"] = "SELECT mol, s, lead(s) OVER (PARTITION BY mol ORDER BY s) - s AS gap FROM (SELECT DISTINCT mol, s FROM called) x"
-R["tool_intersection"] = "SELECT mol FROM truth INTERSECT SELECT mol FROM called"
-R["incomplete_runs"] = "SELECT e.mol, e.run FROM (SELECT mol, CAST(k AS BIGINT) AS run FROM (SELECT mol, EXPLODE_SEQ(0, 23) AS k FROM (SELECT DISTINCT mol FROM truth) y) x) e LEFT JOIN (SELECT DISTINCT l_orderkey % 97 AS mol, l_partkey % 24 AS run FROM lineitem WHERE l_linenumber = 7) g ON e.mol = g.mol AND e.run = g.run WHERE g.mol IS NULL"
-R["tiling"] = "SELECT CAST(least(k * 60, 400 - 100) AS BIGINT) AS lo, CAST(least(k * 60, 400 - 100) + 100 AS BIGINT) AS hi FROM (SELECT EXPLODE_SEQ(0, 5) AS k) x"
-R["bootstrap_mean"] = """
+    R["score_summary"] = "SELECT set_, count(*) AS n, round(avg(m), 6) AS mean_mcc, round(coalesce(stddev_samp(m), 0.0), 6) AS sd FROM (SELECT mol % 6 AS cond, mol % 2 AS set_, avg(mcc) AS m FROM mcc_per_mol GROUP BY mol % 6, mol % 2) x GROUP BY set_"
+    R["paired_summary"] = "SELECT round(avg(d), 6) AS mean_diff, CAST(sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS BIGINT) AS wins FROM (SELECT a.mol, a.n - b.n AS d FROM interval_counts a JOIN (SELECT mol, count(*) AS n FROM called GROUP BY mol) b ON a.mol = b.mol) x"
+    R["nearest_dyad"] = "SELECT mol, s, min(d) AS dist, min(d) <= 20 AS hit FROM (SELECT c.mol, c.s, abs(c.s + 10 - CAST(y.dyad AS BIGINT)) AS d FROM (SELECT DISTINCT mol, s FROM called) c CROSS JOIN (SELECT 73 AS dyad UNION ALL SELECT 200 UNION ALL SELECT 327) y) x GROUP BY mol, s"
+    R["spacing"] = "SELECT mol, s, lead(s) OVER (PARTITION BY mol ORDER BY s) - s AS gap FROM (SELECT DISTINCT mol, s FROM called) x"
+    R["tool_intersection"] = "SELECT mol FROM truth INTERSECT SELECT mol FROM called"
+    R["incomplete_runs"] = "SELECT e.mol, e.run FROM (SELECT mol, CAST(k AS BIGINT) AS run FROM (SELECT mol, EXPLODE_SEQ(0, 23) AS k FROM (SELECT DISTINCT mol FROM truth) y) x) e LEFT JOIN (SELECT DISTINCT l_orderkey % 97 AS mol, l_partkey % 24 AS run FROM lineitem WHERE l_linenumber = 7) g ON e.mol = g.mol AND e.run = g.run WHERE g.mol IS NULL"
+    R["tiling"] = "SELECT CAST(least(k * 60, 400 - 100) AS BIGINT) AS lo, CAST(least(k * 60, 400 - 100) + 100 AS BIGINT) AS hi FROM (SELECT EXPLODE_SEQ(0, 5) AS k) x"
+    R["bootstrap_mean"] = """
 SELECT b, round(sum(w * n) / sum(w), 6) AS mean_n FROM (SELECT c.n, CAST(k AS BIGINT) AS b, 1 + (c.mol * 7919 + k * 104729) % 3 AS w FROM interval_counts c CROSS JOIN (SELECT EXPLODE_SEQ(0, 19) AS k) y) x GROUP BY b"""
+    return R
+
+
+R = build()
 
 #: Relations that are steps of others rather than results of their own.
 STEPS = {"rates", "profiles", "thetas", "grid", "bases", "neighbours", "raw_calls", "label_sites", "label_totals", "dense_long", "cells", "row_edges", "lam_ranked", "truth", "called", "truth_steps", "called_steps", "windows", "log_odds", "energies", "smoothed", "read_sites", "called_occ", "truth_occ", "pooled_fractions", "normalised", "normalised_strand"}
 
 
-def _needs(name: str, seen: dict[str, None]) -> None:
-    for other in re.findall(r"\b\w+\b", R[name]):
-        if other in R and other != name and other not in seen and re.search(rf"(?:FROM|JOIN|,)\s+{other}\b", R[name]):
-            _needs(other, seen)
+def _needs(name: str, seen: dict[str, None], known: dict[str, str]) -> None:
+    for other in re.findall(r"\b\w+\b", known[name]):
+        if other in known and other != name and other not in seen and re.search(rf"(?:FROM|JOIN|,)\s+{other}\b", known[name]):
+            _needs(other, seen, known)
     seen[name] = None
 
 
@@ -236,10 +243,11 @@ _DUCK = [
 ]
 
 
-def compile_sql(name: str, rules) -> str:
+def compile_sql(name: str, rules, known: dict[str, str] | None = None) -> str:
     """A relation and what it needs as one WITH chain."""
+    R = known or globals()["R"]  # noqa: N806
     order: dict[str, None] = {}
-    _needs(name, order)
+    _needs(name, order, R)
     text = "WITH " + ",\n".join(f"{k} AS ({R[k].strip()})" for k in order if k != name) if len(order) > 1 else ""
     text += ("\n" if text else "") + R[name].strip()
     for pattern, to in rules:
@@ -251,12 +259,17 @@ def duckdb_sql(name: str) -> str:
     return compile_sql(name, _DUCK)
 
 
-def relation(spark: SparkSession, name: str, sf_dir: str) -> DataFrame:
-    """The relation over the Parquet tables of a folder."""
-    text = compile_sql(name, _SPARK)
-    text = re.sub(r"\b(\d+\.\d+)\b(?!D)", r"\1D", text)
-    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"FROM {t}\b", text)}
+def over(spark: SparkSession, name: str, known: dict[str, str], tables: dict[str, DataFrame]) -> DataFrame:
+    """A relation of `known` over the named tables."""
+    text = re.sub(r"\b(\d+\.\d+)\b(?!D)", r"\1D", compile_sql(name, _SPARK, known))
+    used = {t: df for t, df in tables.items() if re.search(rf"(?:FROM|JOIN) {t}\b", text)}
     text = text.replace("{", "{{").replace("}", "}}")
     for t in used:
-        text = re.sub(rf"FROM {t}\b", f"FROM {{{t}}}", text)
+        text = re.sub(rf"(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", text)
     return spark.sql(text, **used)
+
+
+def relation(spark: SparkSession, name: str, sf_dir: str) -> DataFrame:
+    """The relation over the Parquet tables of a folder."""
+    text = compile_sql(name, _SPARK)
+    return over(spark, name, R, {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"FROM {t}\b", text)})
