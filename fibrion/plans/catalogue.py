@@ -42,7 +42,7 @@ def _sampled(spark, sf_dir):
 
 
 def _mcmc(spark, sf_dir):
-    frames = simulate.trajectories(_energies(spark, sf_dir), _SETTINGS, 2, 1, 5, 1.0)
+    frames = simulate.trajectories(_energies(spark, sf_dir), _SETTINGS, 2, 1, 20, 2.0, 10)
     return frames.select("mol", "run", "time", "energy", "temp", F.size("positions").alias("n_nuc"))
 
 
