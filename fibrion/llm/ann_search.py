@@ -26,12 +26,14 @@ from . import common
 K, EVERY = 20, 20
 BOUND = 3.0  #: standard errors that an estimate may be off before its vector can be missed
 ROW_BLOCK, QUERY_BLOCK, PLANES = 8_192, 2_048, 4
+LEAST_BITS = 256  #: bits of a code at least: short vectors are rotated into a wider space, for the error falls with its root
+STEP = 64  #: queries estimated at a time
 SEED = 7
 
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
-    """A random rotation to a multiple of 64 dimensions: dim x padded, orthonormal rows."""
-    wide = -(-dim // 64) * 64
+    """A random rotation to a multiple of 64 dimensions, LEAST_BITS at least: dim x padded, orthonormal rows."""
+    wide = max(-(-dim // 64) * 64, LEAST_BITS)
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((wide, wide)))
     return (q * np.sign(np.diag(r)))[:dim]
 
@@ -67,29 +69,32 @@ def estimates(queries: np.ndarray, rot: np.ndarray, codes: np.ndarray, norm: np.
     return with_code * scale, error
 
 
-def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-wise inner products in double precision, components added in order."""
-    out = np.zeros(len(a))
-    for d in range(a.shape[1]):
-        out += a[:, d] * b[:, d]
+def exact(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of rows i of a and j of b, both held column by column, in double precision, components in order."""
+    out = np.zeros(len(i))
+    for left, right in zip(a, b, strict=True):
+        out += left[i] * right[j]
     return out
 
 
 def search(qid: np.ndarray, q: np.ndarray, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, coded, rot: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each query's k nearest among the rows but its own: (index of query, index of row, score)."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for lo in range(0, len(q), 256):
-        part = q[lo : lo + 256]
+    columns = np.ascontiguousarray(x.T)
+    for lo in range(0, len(q), STEP):
+        part = q[lo : lo + STEP]
         est, err = estimates(part, rot, *coded)
-        est[qid[lo : lo + 256, None] == rows[None, :]] = -np.inf
-        first = min(2 * k, len(rows))
+        est[qid[lo : lo + STEP, None] == rows[None, :]] = -np.inf
+        first = min(4 * k, len(rows))
         near = np.argpartition(-est, first - 1, axis=1)[:, :first]
-        at = np.repeat(np.arange(len(part)), first)
-        score = exact(part[at], x[near.ravel()]).reshape(len(part), first)
+        part = np.ascontiguousarray(part.T)
+        score = exact(part, np.repeat(np.arange(len(near)), first), columns, near.ravel()).reshape(near.shape)
         score[~np.isfinite(np.take_along_axis(est, near, 1))] = -np.inf
         kth = np.sort(score, axis=1)[:, -min(k, first)]
         i, j = np.nonzero((est + err >= kth[:, None]) & np.isfinite(est))
-        s = exact(part[i], x[j])
+        s = exact(part, i, columns, j)
+        reach = s >= kth[i]
+        i, j, s = i[reach], j[reach], s[reach]
         order = np.lexsort((ids[j], -s, i))
         i, j, s = i[order], j[order], s[order]
         keep = np.arange(len(i)) - np.searchsorted(i, i) < k
