@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fibrion.llm import common, exact_dedup, language_id, mixing, sentencepiece_codec, simhash_dedup
+from fibrion.llm import common, exact_dedup, language_id, mixing, near_dedup, sentencepiece_codec
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -29,10 +29,14 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup (3-word shingles, 2 bits): of each group the document with the smallest doc_id stays."""
-    found = simhash_dedup.simhash_dedup(docs)
-    first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("row").alias("row"))
-    return _keep(docs, first.select("row").unionByName(found.where("doc_id is null").select("row")))
+    """Near-dedup (5-word shingles, Jaccard similarity of 0.8 or more): of each group the document with the smallest
+    doc_id stays; documents without an id take no part."""
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS)
+    found = near_dedup.near_rows(numbered.where("doc_id is not null").select("row", "text"))
+    members = common.cut(found.join(numbered.select("row", "doc_id"), "row"))
+    first = members.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row")
+    gone = members.select("row").join(first, "row", "left_anti")
+    return numbered.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fibrion.llm import ann_search, common, components, exact_dedup, html_extract, language_id, license_scan, mixing, queries, sentencepiece_codec, simhash_dedup, token_output, toxicity
+from fibrion.llm import ann_search, common, components, exact_dedup, html_extract, language_id, license_scan, mixing, near_dedup, queries, sentencepiece_codec, simhash_dedup, token_output, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row long, size string"
@@ -122,6 +122,41 @@ def test_gray_index_finds_every_link():
         assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
 
 
+def test_near_stage_links_every_pair_at_four_fifths(spark, tmp_path):
+    """Copies with several edits, a passage that many texts share, and short and empty texts, against all pairs."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    vocabulary = np.array([f"w{i}" for i in range(3_000)])
+    passage = list(rng.choice(vocabulary, 30))
+    texts = []
+    for g in range(24):
+        base = list(rng.choice(vocabulary, int(rng.integers(30, 250)))) + passage * (g % 2)
+        for edits in range(int(rng.integers(1, 9))):
+            copy = list(base)
+            for at in rng.integers(0, len(copy), edits):
+                copy[at] = "Edited"
+            texts.append(" ".join(copy))
+    texts += ["one two", "One  two", "one two three", "", None, " "]
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts)] + [(None, texts[0], "en", "a", 1)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(path)
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    label = list(range(len(sets)))
+    linked = [(i, j) for j in range(len(sets)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    far = [(i, j) for i, j in linked if (simhash_dedup.fingerprint(texts[i]) ^ simhash_dedup.fingerprint(texts[j])).bit_count() > 2]
+    assert far
+    for _ in label:
+        for i, j in linked:
+            label[i] = label[j] = min(label[i], label[j])
+    got = corpus_pipeline.near(spark, common.ship(spark).read.parquet(path), SF).collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted(set(label))
+    assert sum(r.doc_id is None for r in got) == 1
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(40)] + [(None, 3), (5, 5)]
