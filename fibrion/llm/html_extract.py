@@ -30,20 +30,34 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 FURNITURE = frozenset("nav footer aside form menu dialog select textarea button fieldset datalist audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NO_BOX = frozenset("p li dt dd tr td th option html body head".split())
+#: A start tag ends these open elements, looked for up to the nearest of the others; those of ENDS_P end an open p.
+ENDS = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tr": ("tr", "table"), "option": ("option", "select datalist")}
+ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.items()}
+ENDS |= dict.fromkeys(("tbody", "thead", "tfoot"), ENDS["tr"])
+ENDS_P = frozenset("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertis(?:ement|ing)|adsense|banner|sponsor(?:ed)?|promo(?:tion)?s?|side-?bar|widgets?|related|recommend(?:ed|ations)?|comments?|disqus|respond|repl(?:y|ies)|cookies?|consent|gdpr|notices?|alerts?|pop-?up|modal|overlay|newsletter|subscri(?:be|ption)|sign-?up|log-?in|shar(?:e|ing)|social|menu|nav|navbar|navigation|bread-?crumbs?|footer|masthead|site-?header|page-?header|copyright|paginat(?:ion|or)|pager|toolbar|tag-?cloud|search|complementary|contentinfo|dialog)(?:$|[\s_-])",
     re.I,
 )
 
 
+_P_HOLDERS = frozenset("td th li dd dt caption button object table".split())
+
+
+def _named(attrs: str) -> bool:
+    """Whether an element's attributes name it as page furniture or hide it."""
+    return any(NAMES.search(v) for _, *vs in _ATTR.findall(attrs) for v in vs if v) or bool(_HIDDEN.search(attrs))
+
+
 def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
     """(text, words, link density, in main, furniture, heading) of each block with text, in page order."""
     out: list[tuple[str, int, float, bool, bool, bool]] = []
     stack: list[tuple[str, bool, bool]] = []
     parts: list[str] = []
     linked: list[str] = []
+    apart: list[str] = []  # text of furniture inside a line
     in_link = heading = False
-    main = furniture = 0
+    main = furniture = inside = 0
     at = 0
 
     def flush() -> None:
@@ -55,9 +69,30 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
                 out.append((" ".join(words), len(words), min(1.0, links / len(words)), main > 0, furniture > 0, heading))
             parts.clear()
             linked.clear()
+        if apart:
+            words = html.unescape("".join(apart)).split()
+            if words:
+                out.append((" ".join(words), len(words), 0.0, main > 0, True, heading))
+            apart.clear()
+
+    def end(names: frozenset[str], upto: frozenset[str]) -> None:
+        """Ends the nearest open element of these names, and what it holds, unless one of `upto` stands before it."""
+        nonlocal main, furniture, inside
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] in names:
+                for tag, a, b in stack[k:]:
+                    main -= a
+                    furniture -= b
+                    inside -= b and tag in INLINE
+                del stack[k:]
+                break
+            if stack[k][0] in upto:
+                break
 
     def text(piece: str) -> None:
-        if piece:
+        if piece and inside:
+            apart.append(piece)
+        elif piece:
             parts.append(piece)
             if in_link:
                 linked.append(piece)
@@ -74,32 +109,45 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
                 in_link = not closing
             if name in ("br", "img"):
                 text(" ")
-            if name != "span":
-                continue
-            if closing or not m[4]:
+            named = not closing and bool(m[4]) and _named(m[4])
+            if name in VOID:
                 continue
+            if closing:
+                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+                if k is not None:
+                    _, _, b = stack.pop(k)
+                    furniture -= b
+                    inside -= b
+            elif named or any(x[0] == name for x in stack):
+                stack.append((name, False, named))
+                furniture += named
+                inside += named
+            continue
         else:
             flush()
             in_link = False if name != "a" and closing and name in ("nav", "ul", "li", "p", "div") else in_link
         if re.fullmatch("h[1-6]", name):
             heading = not closing
-        if name in VOID or name in NO_BOX or name == "span":
+        if not closing and name in ENDS_P:
+            end(frozenset(("p",)), _P_HOLDERS)
+        if name in VOID or name in ("html", "body", "head"):
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    for _, a, b in stack[k:]:
-                        main -= a
-                        furniture -= b
-                    del stack[k:]
-                    break
+            end(frozenset((name,)), ENDS[name][1] - {name} if name in ENDS else _P_HOLDERS if name == "p" else frozenset())
+            continue
+        if name in ENDS:
+            end(*ENDS[name])
+        if name in NO_BOX:
+            named = bool(m[4]) and _named(m[4])
+            stack.append((name, False, named))
+            furniture += named
             continue
         attrs = m[4]
         is_main = name in ("article", "main")
         named = False
         if attrs:
             values = [v for kind, *vs in _ATTR.findall(attrs) for v in vs if v]
-            named = any(NAMES.search(v) for v in values) or bool(_HIDDEN.search(attrs))
+            named = _named(attrs)
             is_main = is_main or any(re.search(r"(?:^|[\s_-])(?:article|post|entry|story|main)(?:[-_](?:body|content|text))?(?:$|\s)", v, re.I) for v in values) and not named
         is_furniture = name in FURNITURE or (name == "header" and not main) or (named and name not in ("article", "main"))
         stack.append((name, is_main, is_furniture))
@@ -136,6 +184,7 @@ LABELLED = [
     f"<div>-word</div><div>-word word</div><p>+{_LONG}</p><p>+{_MID}</p><p>+{_LONG}</p><div>-word</div><div class='related'><a>-{_MID}</a></div>",
     f"<div><p>-{_LONG}</p></div><p>-{_MID}</p><article><p>+{_LONG}</p><p>+{_MID}</p></article><div><h2>-{_MID}</h2><p>-{_LONG}</p></div><p>-{_MID}</p>",
     f"<h1>+{_MID}</h1><p>+{_MID}</p><p>+{_LONG}</p><p>+word word</p><p>+{_LONG}</p><div><a>-word word</a></div>",
+    f"<article><p>+{_LONG}<p class='advert'>-{_MID}<p>+{_MID}</p><ul><li>+word word<li class='comment'>-{_LONG}<li>+{_MID}</ul><table><tr><td>+word<td class='ad'>-{_MID}</table><p>+{_MID}<span hidden>-word</span></p></article>",
 ]
 
 

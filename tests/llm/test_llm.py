@@ -382,6 +382,23 @@ def test_html(spark, none):
     assert html_extract.extract(empty).count() == 0
 
 
+def test_html_furniture_on_elements_without_a_box():
+    """Adverts, comments and hidden text on p, li, dd, tr, td and inline elements, closed or ended by what follows."""
+    tree = html_extract.grow(*html_extract.training_table())
+    words = "some real words of an article that go on for a while and then some more of them"
+    cases = {
+        f"<p>{words}</p><p class='advert'>buy</p><p>end</p>": f"{words}\nend",
+        f"<p>{words}<p class=ad>buy<p>end": f"{words}\nend",
+        f"<p>{words}<p class=ad>buy <b>now</b><div>end</div>": f"{words}\nend",
+        f"<ul><li>{words}<li class='comment'>no<ul><li>no</li></ul>no<li>end</ul>": f"{words}\nend",
+        f"<dl><dt>{words}<dd style='display:none'>no<dd>end</dl>": f"{words}\nend",
+        f"<table><tr class='share'><td>no<td>no<tr><td>{words}<td id='comments'>no<td>end</table>": f"{words}\nend",
+        f"<p>{words} <span class='share'>no <span>no</span> no</span>end <em hidden>no</em>now</p>": f"{words} end now",
+    }
+    for body, want in cases.items():
+        assert html_extract.main_text([f"<nav>home</nav><article>{body}</article><footer>no</footer>"], tree) == [want]
+
+
 def test_toxicity(spark, odd, none):
     rng = np.random.default_rng(6)
     plain = ["".join(rng.choice(list("abcdefg"), 4)) for _ in range(300)]
