@@ -2,9 +2,10 @@
 
 Every document is a packet of its source's flow; its size is its number of words. A flow is served in shuffled order (by
 MD5 of seed and doc_id), as often as its target needs, at most `MOST` times round. A packet's virtual finish time is the
-words its flow has sent when it is through, divided by the flow's target. All packets are put in range order of that
-time and the queue is cut where the words sent reach the total budget, which is virtual time 1 since the targets add up
-to the budget: packets through by then are taken whole, and those in service give the words sent by then.
+words its flow has sent when it is through, divided by the flow's target. The queue ends where the words sent reach the
+total budget, which is virtual time 1 since the targets add up to the budget: packets through by then are taken whole,
+and those in service give the words sent by then. At that time each flow has sent its target, so the cut is made in each
+source alone, at its target rounded to whole words; the packets of all sources are not sorted for it.
 
 Running totals never sit in one task: an order's key space is cut into buckets, buckets are summed first (one row a
 source and bucket), and the running total inside a bucket starts from the sum of those before it.
