@@ -47,7 +47,7 @@ def _mcmc(spark, sf_dir):
 
 
 def _evidence(spark, sf_dir):
-    return simulate.llink_evidence(_energies(spark, sf_dir), _SETTINGS, [0, 5, 10])
+    return simulate.llink_evidence(_energies(spark, sf_dir), _SETTINGS, list(range(0, 65, 5)))
 
 
 def _em(spark, sf_dir):

@@ -94,3 +94,8 @@ def test_nu_and_linkage():
 @pytest.mark.parametrize("name", ["exact_occupancy", "exact_counts", "sampled_occupancy", "mcmc_summary", "llink_evidence", "em_fit", "nu_fit", "linkage_order", "seed_table"])
 def test_kernel_queries(spark, name):
     assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
+
+
+def test_llink_evidence_has_every_default_candidate(spark):
+    got = catalogue.QUERIES["llink_evidence"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.llink for r in got) == list(range(0, 65, 5))
