@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import physics, statistics
+from ..shipping import ship
 
 
 def _spread(rows: DataFrame, *keys: str) -> DataFrame:
     """Deals rows of long work to all cores; a count of its own keeps small rows from being put together again."""
+    ship(rows.sparkSession)
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
@@ -104,6 +106,7 @@ def em_fit(bins: DataFrame) -> DataFrame:
         got = statistics.em(k, n)
         return pd.DataFrame({"chrom": b["chrom"].iloc[0], "channel": names, "rate_prot": got["rate_prot"], "rate_acc": got["rate_acc"], "pi": got["pi"], "loglik": got["loglik"]})
 
+    ship(bins.sparkSession)
     return bins.groupBy("chrom").applyInPandas(fit, "chrom string, channel long, rate_prot double, rate_acc double, pi double, loglik double")
 
 
@@ -113,6 +116,7 @@ def nu_fit(counts: DataFrame) -> DataFrame:
     def fit(b: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"source": [b["source"].iloc[0]], "channel": [b["channel"].iloc[0]], "nu": [statistics.fit_nu(b["k"].to_numpy(float), b["n"].to_numpy(float))]})
 
+    ship(counts.sparkSession)
     return counts.groupBy("source", "channel").applyInPandas(fit, "source string, channel long, nu double")
 
 
@@ -124,4 +128,5 @@ def linkage_order(mols: DataFrame) -> DataFrame:
         found = statistics.leaves(statistics.linkage(np.array([np.array(v, float) for v in b["e"]]))) if len(b) > 1 else [0]
         return pd.DataFrame({"chrom": b["chrom"].iloc[0], "rank": range(len(b)), "mol": b["mol"].to_numpy()[list(found)]})
 
+    ship(mols.sparkSession)
     return mols.groupBy("chrom").applyInPandas(order, "chrom long, rank long, mol long")
