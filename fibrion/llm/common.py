@@ -2,33 +2,28 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from ..shipping import is_local, ship
+
+__all__ = ["ship", "table", "shared_dir", "fresh_dir", "cut", "stored", "stored_at", "drop", "numbered", "partitions", "lower_az", "n_words", "salted_left_join"]
+
 #: A word as the operators count it: anything between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def ship(spark: SparkSession) -> SparkSession:
-    """Lets Python workers that the session starts import this package."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
-    return spark
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where none is set, one of our own if the session
+    runs on this machine alone; otherwise ValueError, for executors would each write to a disk of their own."""
     sc = spark.sparkContext
     got = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if got:
@@ -36,12 +31,20 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(got)
         return got
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not is_local(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="fibrion-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def fresh_dir(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/fibrion-{what}-{uuid.uuid4().hex[:12]}"
+    """A new folder's path under the shared folder; what is written there goes when the driver ends."""
+    top = f"{shared_dir(spark).rstrip('/')}/fibrion-{what}-{uuid.uuid4().hex[:12]}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(top)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return f"{top}/data"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -50,6 +53,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored_at(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """Written to the shared folder as Parquet and read again (computed once, and columns not asked for aren't read); and
+    where it lies."""
+    out = fresh_dir(df.sparkSession, what)
+    df.write.option("compression", "zstd").parquet(out)
+    return df.sparkSession.read.schema(df.schema).parquet(out), out
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    return stored_at(df, what)[0]
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Removes what lies at the path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def numbered(docs: DataFrame, *columns: str | Column) -> DataFrame:
+    """The columns with `row`, a number of its own for each row. Written once: numbers made anew in a second scan could
+    fall on other rows, for files are split by the number of cores at hand."""
+    return stored(docs.select(F.monotonically_increasing_id().alias("row"), *columns), "rows")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

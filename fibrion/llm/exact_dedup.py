@@ -32,13 +32,13 @@ def normalise(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").translate(_UP)
 
 
-def _fold(batch_rows: Iterator[tuple[int, int, int, bytes | None, bytes]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Rows (row, block, blocks, sha, key) -> the same with the (row, block) that stands for the key; the key only there."""
+def _fold(batch_rows: Iterator[tuple[int, int, int, int | None, bytes | None, bytes]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows (row, block, blocks, doc_id, sha, key) -> the same with the (row, block) that stands for the key; the key only there."""
     seen: dict[bytes, tuple[int, int]] = {}
     held = 0
     out: list[tuple] = []
     size = 0
-    for row, pos, n, sha, key in batch_rows:
+    for row, pos, n, doc, sha, key in batch_rows:
         got = seen.get(key)
         first = got is None
         if first:
@@ -47,7 +47,7 @@ def _fold(batch_rows: Iterator[tuple[int, int, int, bytes | None, bytes]], schem
                 held = 0
             got = seen[key] = (row, pos)
             held += len(key)
-        out.append((row, pos, n, sha, *got, key if first else None))
+        out.append((row, pos, n, doc, sha, *got, key if first else None))
         size += len(key) * first + 64
         if size > 8 << 20:
             yield _batch(out, schema)
@@ -59,18 +59,18 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-_SCHEMA = pa.schema([("row", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("sha", pa.binary()), ("rep", pa.int64()), ("rep_pos", pa.int32()), ("key", pa.binary())])
-_DDL = "row long, pos int, n int, sha binary, rep long, rep_pos int, key binary"
+_SCHEMA = pa.schema([("row", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("doc_id", pa.int64()), ("sha", pa.binary()), ("rep", pa.int64()), ("rep_pos", pa.int32()), ("key", pa.binary())])
+_DDL = "row long, pos int, n int, doc_id long, sha binary, rep long, rep_pos int, key binary"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
         for b in batches:
-            for row, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for row, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 raw = normalise(text.as_py())
                 n = max(1, -(-len(raw) // BLOCK))
                 for p in range(n):
-                    yield row, p, n, hashlib.sha256(raw).digest() if p == 0 else None, raw[p * BLOCK : (p + 1) * BLOCK]
+                    yield row, p, n, None if p else doc, None if p else hashlib.sha256(raw).digest(), raw[p * BLOCK : (p + 1) * BLOCK]
 
     return _fold(rows(), _SCHEMA)
 
@@ -79,7 +79,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
         for b in batches:
             for row, pos, n, left, right in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                yield row, pos, n, None, left.to_bytes(8, "big") + (b"" if right is None else right.to_bytes(8, "big"))
+                yield row, pos, n, None, None, left.to_bytes(8, "big") + (b"" if right is None else right.to_bytes(8, "big"))
 
     return _fold(rows(), _SCHEMA)
 
@@ -97,31 +97,33 @@ def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _named(folded: DataFrame) -> DataFrame:
-    """Rows (row, pos, n, sha, name) of folded rows."""
+    """Rows (row, pos, n, doc_id, sha, name) of folded rows, which are read twice and so must be stored or checkpointed."""
     n = common.partitions(folded.sparkSession)
     distinct = folded.where("key is not null").select("rep", "rep_pos", "key")
     names = distinct.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_name, "rep long, rep_pos int, name long")
-    return folded.select("row", "pos", "n", "sha", "rep", "rep_pos").join(names, ["rep", "rep_pos"]).select("row", "pos", "n", "sha", "name")
+    return folded.select("row", "pos", "n", "doc_id", "sha", "rep", "rep_pos").join(names, ["rep", "rep_pos"]).select("row", "pos", "n", "doc_id", "sha", "name")
 
 
 def identities(rows: DataFrame) -> DataFrame:
-    """(row, text) -> (row, sha, n, name): sha256 of the normalised text, and an identity that equal texts alone share.
+    """(row, doc_id, text) -> (row, doc_id, sha, n, name): sha256 of the normalised text, and an identity that equal texts
+    alone share. `row` must be unique.
 
-    `row` must be unique, and rows must come in the same order in every run over the input, as from a stored table (it is
-    read once for blocks and once for names); cut a shuffled input first.
-    """
+    The input is read once: its blocks are stored with their rows' numbers before anything is joined, so numbers that
+    another reading would deal out differently can't part a text from its name."""
     common.ship(rows.sparkSession)
-    current = common.cut(_named(rows.mapInArrow(_blocks, _DDL)))
-    out = current.where("pos = 0").select("row", "sha", "n")
+    folded, path = common.stored_at(rows.select("row", "doc_id", "text").mapInArrow(_blocks, _DDL), "blocks")
+    current = common.cut(_named(folded))
+    common.drop(rows.sparkSession, path)
+    out = current.where("pos = 0").select("row", "doc_id", "sha", "n")
     done = [current.where("n = 1").select("row", "name")]
     current = current.where("n > 1").select("row", "pos", "n", "name")
     while (top := current.agg(F.max("n")).first()[0]) is not None:
         pair = current.withColumn("half", F.expr("pos div 2")).groupBy("row", "half").agg(
             F.first("n").alias("n"), F.max(F.when(F.expr("pos % 2 = 0"), F.col("name"))).alias("left"), F.max(F.when(F.expr("pos % 2 = 1"), F.col("name"))).alias("right")
         )
-        pair = pair.select("row", F.col("half").cast("int").alias("pos"), "n", "left", "right")
-        pair = common.cut(pair)  # folding depends on the order of rows, which a second run of a shuffle may change
-        current = common.cut(_named(pair.mapInArrow(_pairs, _DDL)).withColumn("n", F.expr("cast((n + 1) div 2 as int)")).drop("sha"))
+        pair = common.cut(pair.select("row", F.col("half").cast("int").alias("pos"), "n", "left", "right"))
+        folded = common.cut(pair.mapInArrow(_pairs, _DDL))
+        current = common.cut(_named(folded).withColumn("n", F.expr("cast((n + 1) div 2 as int)")).drop("doc_id", "sha"))
         done.append(current.where("n = 1").select("row", "name"))
         if top <= 2:
             break
@@ -132,15 +134,15 @@ def identities(rows: DataFrame) -> DataFrame:
     return out.join(names, "row")
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
-    """One row per row of (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """One row per row of (doc_id, text): row, doc_id, keep_id, group_size, kept, text_sha256.
 
     Null text counts as empty. Of equal texts the row with the largest doc_id stays (a null doc_id only if all are null,
-    and then keep_id is null); of rows that also share that doc_id, one stays. Other columns are left out.
+    and then keep_id is null); of rows that also share that doc_id, one stays. `row` names a column that tells rows apart,
+    if there is one; otherwise rows are numbered here. Other columns are left out.
     """
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
-    ids = identities(base.select("row", "text"))
-    full = common.cut(ids.join(base.select("row", "doc_id"), "row"))
+    own = F.col(row) if row else F.monotonically_increasing_id()
+    full = common.cut(identities(docs.select(own.alias("row"), F.col("doc_id").cast("long"), "text")))
     best = F.struct(F.col("doc_id").isNotNull(), F.col("doc_id"), F.col("row"))
     groups = full.groupBy("n", "name").agg(F.count("*").alias("size"), F.max(best).alias("best")).where("size > 1")
     groups = groups.select("n", "name", "size", F.col("best.doc_id").alias("best_id"), F.col("best.row").alias("best_row"))

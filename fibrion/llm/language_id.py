@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -23,8 +23,11 @@ from . import common
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 PAD = max(WIDTHS) - 1
-#: Labelled documents that the network is fitted on, at most: those of the least hashes.
-SAMPLE, STEPS, BATCH, SEED = 3_000, 500, 96, 11
+#: Labelled documents that the network is fitted on, at most, of each language (those of the least hashes), and the
+#: characters of each that count: SAMPLE x CROP characters a language come to the driver at most.
+SAMPLE, CROP = 1_000, 20_000
+STEPS, BATCH, SEED = 500, 96, 11
+BROADCAST = 500_000  #: ids of the sample that are sent to every task at most; more are joined by a shuffle
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -175,13 +178,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Network:
-    """Fits on at most `sample` labelled documents that aren't held out: those with the least hashes of their doc_id."""
+def fit(docs: DataFrame, sample: int = SAMPLE, crop: int = CROP) -> Network:
+    """Fits on at most `sample` labelled documents of each language that aren't held out (those with the least hashes of
+    their doc_id, so a rare language is learnt too), `crop` characters of each. Rows that share a doc_id and a language
+    count as one, the least text. Without labelled rows the network says `und`."""
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = labelled.select(F.col("doc_id")).orderBy(*order).limit(sample).distinct()  # ids alone go to one place
-    rows = labelled.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").collect()  # bounded by `sample`
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["text"]))[:sample]
+    least = Window.partitionBy("lang").orderBy("key", "doc_id")  # ids alone; each task passes on `sample` of a language at most
+    ids = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("key")).withColumn("place", F.row_number().over(least)).where(F.col("place") <= sample).select("lang", "doc_id").distinct()
+    ids = common.cut(ids)
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST else ids
+    found = labelled.select("lang", "doc_id", F.substring("text", 1, crop).alias("text")).join(ids, ["lang", "doc_id"])
+    rows = found.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["lang"]))
     return train([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else Network([UNKNOWN], [np.zeros((w, 256, FILTERS), "f4") for w in WIDTHS], np.zeros((FILTERS * len(WIDTHS), 1), "f4"), np.zeros(1, "f4"))
 
 

@@ -6,9 +6,12 @@ n - ceil(t n) + 1 members (of n) meet. The order puts rare shingles first, by a
 common line or passage is seldom among them. Only texts that share such a shingle are compared: first on bitmaps of their
 sets, which differ in no more bits than the sets in members, so no pair is lost there, and what is left on the whole sets.
 
-A large group of copies is not compared pair by pair: first every text is held against two that share its shingle, the
-first and the next one in size, and what passes is joined; then all pairs of texts that share one and aren't joined yet are compared. A pair
-left out is in one component already, so the components are those of all pairs that reach the similarity.
+SimHash goes first (simhash_dedup: fingerprints of the same shingles, Gray-order index): each text of a fingerprint group
+is held against the group's first, and what reaches the similarity is joined. Fingerprints within two bits are few of the
+pairs at 0.8 (those differ in 3 to 11 bits), so the join finds the rest. A large group of copies is not compared pair by
+pair either: every text is held against two that share its shingle, the first and the next one in size, and what passes
+is joined; then all pairs of texts that share one and aren't joined yet are compared. A pair left out is in one component
+already, so the components are those of all pairs that reach the similarity.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
+from .simhash_dedup import fingerprints, near_groups
 
 SHINGLE = 5
 #: Similarity 0.8, as a fraction.
@@ -219,13 +223,20 @@ def near_rows(rows: DataFrame) -> DataFrame:
             pairs = common.salted_left_join(pairs, own, [side], other, 4)
         return pairs.select("a", "b", *(f"{x}_{side}" for x in names for side in ("a", "b")))
 
-    def edges(labelled: DataFrame, star: bool) -> DataFrame:
-        dealt = labelled.select("shingle", "label", "row", "place", "size").repartition(n, "shingle").sortWithinPartitions("shingle", "label", "row")
-        pairs = common.cut(dealt.mapInArrow(_candidates(star), "a long, b long").distinct())
+    def alike(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that reach the similarity."""
         pairs = common.cut(beside(pairs, maps, ["size", "map"]).mapInArrow(_close, "a long, b long"))
         return common.cut(beside(pairs, rows.select("row", "text"), ["text"]).mapInArrow(_verify, "a long, b long"))
 
-    found = common.cut(components(edges(shared.withColumn("label", F.col("size").cast("long")), True)).withColumnRenamed("node", "row"))
+    def edges(labelled: DataFrame, star: bool) -> DataFrame:
+        dealt = labelled.select("shingle", "label", "row", "place", "size").repartition(n, "shingle").sortWithinPartitions("shingle", "label", "row")
+        return alike(common.cut(dealt.mapInArrow(_candidates(star), "a long, b long").distinct()))
+
+    prints = common.cut(fingerprints(rows.select("row", F.col("row").alias("doc_id"), "text"), SHINGLE))
+    groups = common.salted_left_join(prints, near_groups(prints), ["fp"], "row")  # the component is its least row
+    links = alike(common.cut(groups.where("component < row").select(F.col("component").alias("a"), F.col("row").alias("b"))))
+    stars = edges(shared.withColumn("label", F.col("size").cast("long")), True)
+    found = common.cut(components(links.unionByName(stars)).withColumnRenamed("node", "row"))
     labelled = shared.join(found.withColumnRenamed("component", "label"), "row", "left").withColumn("label", F.coalesce("label", "row"))
     rest = edges(labelled, False)
     joined = found.select(F.col("row").alias("a"), F.col("component").alias("b")).unionByName(rest)

@@ -3,8 +3,11 @@
 The model file is a protocol buffer; `parse` reads its pieces (text, score, kind), the trainer's model type and byte
 fallback, and the normaliser's settings. `build` makes the same tokenizer of library parts: the normaliser (compiled
 character map, removal of extra spaces, dummy prefix, the metaspace marker for spaces), a unigram model from the scores,
-or, if the model's type is BPE, merges ranked by the score of the piece they make, byte fallback, and a decoder. `verify`
-holds its ids against the sentencepiece library's.
+or, if the model's type is BPE, merges ranked by the score of the piece they make, byte fallback, and a decoder.
+
+Parity with the sentencepiece library is verified over all data: every distinct word that a worker meets is encoded by both,
+every text that can't be cut at words is encoded whole by both, and the table that ids are decoded by is held, piece by
+piece, against both libraries' decoders. The first difference raises.
 """
 
 from __future__ import annotations
@@ -39,6 +42,7 @@ class Model:
     dummy_prefix: bool = True
     remove_extra: bool = True
     escape: bool = True
+    unknown_text: str = " \u2047 "  # what an unknown piece decodes to
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -88,6 +92,8 @@ def parse(data: bytes) -> Model:
                     m.kind = v
                 elif k == 35:
                     m.byte_fallback = bool(v)
+                elif k == 44:
+                    m.unknown_text = v.decode()
         elif number == 3:
             for k, v in _fields(value):
                 if k == 2:
@@ -148,40 +154,71 @@ def widths(m: Model) -> np.ndarray:
 
 
 def piece_bytes(m: Model) -> list[bytes]:
-    return [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind in (CONTROL, UNKNOWN) else p.replace(MARK, " ").encode() for p, _, kind in m.pieces]
+    """What each id decodes to."""
+    fixed = {CONTROL: b"", UNKNOWN: m.unknown_text.encode()}
+    return [bytes([int(p[3:5], 16)]) if kind == BYTE else fixed[kind] if kind in fixed else p.replace(MARK, " ").encode() for p, _, kind in m.pieces]
 
 
 class Codec:
-    def __init__(self, data: bytes):
+    """verify: whether ids are held against the sentencepiece library's as they are made."""
+
+    def __init__(self, data: bytes, verify: bool = True):
+        import sentencepiece
+
         self.data, self.model = data, parse(data)
         self.whole = build(self.model)
+        self.sp = sentencepiece.SentencePieceProcessor(model_proto=data)
         plain = self.model.kind == BPE and self.model.escape and not self.model.charsmap and self.model.dummy_prefix and cuts_at_words(self.model)
-        self.words = WordCodes(build(self.model, words=True), self.whole, widths(self.model), UNPLAIN, leading=False) if plain else None
+        self.words = WordCodes(build(self.model, words=True), self.whole, widths(self.model), UNPLAIN, leading=False, held=self._hold if verify else None) if plain else None
+        self.verifies, self.verified = verify, 0
         self.bytes = piece_bytes(self.model)
         self.is_byte = np.array([kind == BYTE for _, _, kind in self.model.pieces])
-        self.checked = False
+        if verify:
+            self._hold_decoders()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, document after document, and each document's number of ids; the library's threads share the texts."""
         if self.words:
             return self.words.encode(texts)
-        return WordCodes._ids(self.whole, [t or "" for t in texts.to_pylist()])
+        whole = [t or "" for t in texts.to_pylist()]
+        ids, count = WordCodes._ids(self.whole, whole)
+        if self.verifies:
+            self._hold(whole, ids, count, False)
+        return ids, count
 
     def decode(self, ids: np.ndarray) -> str:
         raw = b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return raw[1:] if self.model.dummy_prefix and raw.startswith(" ") else raw
 
-    def verify(self, texts: list[str]) -> int:
-        """Holds ids against the sentencepiece library's; raises on the first that differ. Returns the number held."""
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_proto=self.data)
-        ids, count = self.encode(pa.array(texts, pa.string()))
-        at = np.concatenate([[0], np.cumsum(count)])
-        for t, lo, hi in zip(texts, at[:-1], at[1:], strict=True):
-            if sp.encode(t) != ids[lo:hi].tolist():
-                raise ValueError(f"ids differ from the sentencepiece library's on {t[:80]!r}")
-        return len(texts)
+    def _hold(self, texts: list[str], ids: np.ndarray, count: np.ndarray, cut: bool) -> None:
+        """Raises unless the sentencepiece library gives these ids; of whole texts, both decoders must give one text."""
+        lead = len(self.sp.encode("x")) if cut else 0
+        inner = [cut and t.startswith("\n") for t in texts]  # a word after a line end has no prefix of its own
+        want = self.sp.encode(["x" + t if i else t for t, i in zip(texts, inner, strict=True)])
+        flat = np.fromiter((x for w, i in zip(want, inner, strict=True) for x in (w[lead:] if i else w)), "<u4")
+        if not np.array_equal(flat, ids):
+            end = np.cumsum(count)
+            for t, w, i, lo, hi in zip(texts, want, inner, end - count, end, strict=True):
+                if (w[lead:] if i else w) != ids[lo:hi].tolist():
+                    raise ValueError(f"ids differ from the sentencepiece library's on {t[:80]!r}")
+        if not cut and self.model.byte_fallback:
+            end = np.cumsum(count)
+            parts = [ids[lo:hi] for lo, hi in zip(end - count, end, strict=True)]
+            for t, part, back in zip(texts, parts, self.whole.decode_batch([x.tolist() for x in parts], skip_special_tokens=False), strict=True):
+                if self.decode(part) != back:
+                    raise ValueError(f"decoded text differs from the tokenizers library's on {t[:80]!r}")
+        self.verified += len(texts)
+
+    def _hold_decoders(self) -> None:
+        """Raises unless every piece decodes as the sentencepiece library's does after another piece."""
+        anchor = next((i for i, (p, _, kind) in enumerate(self.model.pieces) if kind == NORMAL and MARK not in p), None)
+        if anchor is None:
+            return
+        known = [i for i, (_, _, kind) in enumerate(self.model.pieces) if kind != BYTE]
+        lead = self.model.pieces[anchor][0]
+        for i, text in zip(known, self.sp.decode([[anchor, i] for i in known]), strict=True):
+            if text != lead + self.bytes[i].decode():
+                raise ValueError(f"piece {i} decodes to {text!r} in the sentencepiece library")
 
 
 _codecs: dict[int, Codec] = {}
@@ -194,12 +231,13 @@ def codec(data: bytes) -> Codec:
     return _codecs[key]
 
 
-def encode_decode(docs: DataFrame, model: bytes, verify: int = 200) -> DataFrame:
+def encode_decode(docs: DataFrame, model: bytes, with_ids: bool = False) -> DataFrame:
     """Every row's whole text encoded and decoded again: doc_id, n_pieces, n_bytes (fallback pieces), ids_crc32 (of the
-    ids as little-endian unsigned 32-bit integers), text_crc32 (of the decoded text's UTF-8), round_trip.
+    ids as little-endian unsigned 32-bit integers), text_crc32 (of the decoded text's UTF-8), round_trip; with_ids: and
+    ids, the pieces' ids as an array.
 
     Null and empty text: no pieces, round trip true. Null or repeated doc_ids: a row for each row. Columns other than
-    doc_id and text are left out. Each worker verifies the first `verify` texts it meets against the sentencepiece library.
+    doc_id and text are left out. Ids that differ from the sentencepiece library's raise (see Codec).
     """
     shared = common.ship(docs.sparkSession).sparkContext.broadcast(model)
 
@@ -208,26 +246,24 @@ def encode_decode(docs: DataFrame, model: bytes, verify: int = 200) -> DataFrame
         for b in batches:
             for lo in range(0, b.num_rows, STEP):
                 texts = b.column(1).slice(lo, STEP)
-                if not c.checked:
-                    c.verify([t or "" for t in texts.slice(0, verify).to_pylist()])
-                    c.checked = True
                 ids, count = c.encode(texts)
                 at = np.concatenate([[0], np.cumsum(count)])
                 raw = ids.tobytes()
                 fallback = np.concatenate([[0], np.cumsum(c.is_byte[ids])])
                 back = [c.decode(ids[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": b.column(0).slice(lo, STEP),
-                        "n_pieces": pa.array(count, pa.int64()),
-                        "n_bytes": pa.array(fallback[at[1:]] - fallback[at[:-1]], pa.int64()),
-                        "ids_crc32": pa.array([zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(at[:-1], at[1:], strict=True)], pa.int64()),
-                        "text_crc32": pa.array([zlib.crc32(x.encode()) for x in back], pa.int64()),
-                        "round_trip": [x == (t or "") for x, t in zip(back, texts.to_pylist(), strict=True)],
-                    }
-                )
-
-    schema = "doc_id long, n_pieces long, n_bytes long, ids_crc32 long, text_crc32 long, round_trip boolean"
+                out = {
+                    "doc_id": b.column(0).slice(lo, STEP),
+                    "n_pieces": pa.array(count, pa.int64()),
+                    "n_bytes": pa.array(fallback[at[1:]] - fallback[at[:-1]], pa.int64()),
+                    "ids_crc32": pa.array([zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(at[:-1], at[1:], strict=True)], pa.int64()),
+                    "text_crc32": pa.array([zlib.crc32(x.encode()) for x in back], pa.int64()),
+                    "round_trip": [x == (t or "") for x, t in zip(back, texts.to_pylist(), strict=True)],
+                }
+                if with_ids:
+                    out["ids"] = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype("i4")))
+                yield pa.RecordBatch.from_pydict(out)
+
+    schema = "doc_id long, n_pieces long, n_bytes long, ids_crc32 long, text_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 

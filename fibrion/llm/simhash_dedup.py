@@ -25,6 +25,7 @@ from .components import components
 
 LIMIT, SHINGLE, SEED = 2, 3, 42
 FANOUT, QUERIES = 8, 4_096
+SEARCHED = 500_000  #: rows below whole top nodes that are indexed at a time, at least
 _BITS = np.arange(63, -1, -1, dtype="u8")
 
 
@@ -163,16 +164,18 @@ def _search(limit: int):
             far = np.flatnonzero(root != np.arange(len(rows)))
             return pa.RecordBatch.from_arrays([pa.array(rows[far, 3]), pa.array(rows[root[far], 3])], names=["a", "b"])
 
+        top = None  # the node that held rows end in
         for b in batches:
-            held.append(np.column_stack([c.to_numpy().astype("i8") for c in b.columns]))
-            if sum(map(len, held)) > 500_000:
-                rows = np.concatenate(held)
-                last = (rows[:, 0] == rows[-1, 0]) & (rows[:, 1] >> 32 == rows[-1, 1] >> 32)
-                if not last.all():
-                    yield edges(rows[~last])
-                    held = [rows[last]]
-                else:
-                    held = [rows]
+            rows = np.column_stack([c.to_numpy().astype("i8") for c in b.columns])
+            if not len(rows):
+                continue
+            front = np.column_stack([rows[:, 0], rows[:, 1] >> 32])
+            if sum(map(len, held)) > SEARCHED and (other := (front != top).any(1)).any():
+                first = int(np.argmax(other))
+                yield edges(np.concatenate([*held, rows[:first]]))
+                held, rows = [], rows[first:]
+            held.append(rows)
+            top = tuple(front[-1])
         if held:
             yield edges(np.concatenate(held))
 
@@ -194,13 +197,15 @@ def near_groups(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
     return linked.where("linked or docs > 1").select("fp", "component")
 
 
-def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
+def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT, row: str | None = None) -> DataFrame:
     """One row per row of (doc_id, text): row, doc_id, fingerprint (16 hex digits), component_id.
 
     Null and empty texts and texts without words have fingerprint zero and link like any other. Rows with a null doc_id
-    take no part in linking and have a null component. Repeated doc_ids: a row for each. Other columns are left out.
+    take no part in linking and have a null component. Repeated doc_ids: a row for each. `row` names a column that tells
+    rows apart, if there is one. Other columns are left out.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
+    own = F.col(row) if row else F.monotonically_increasing_id()
+    rows = docs.select(own.alias("row"), F.col("doc_id").cast("long"), "text")
     prints = common.cut(fingerprints(rows, shingle))
     out = common.salted_left_join(prints, near_groups(prints, limit), ["fp"], "row")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

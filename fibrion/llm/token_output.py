@@ -206,7 +206,9 @@ def write(docs: DataFrame, tokenizer_json: str, out_dir: str, end_id: int = END_
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{out_dir}/part-{part:06d}.ztk"], "docs": [docs_n], "tokens": [tokens]})
 
     n = parts or common.partitions(spark)
-    sorted_docs = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # ranges over (doc_id, hash of the text): a doc_id that many rows share doesn't go to one part
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("key"))
+    sorted_docs = keyed.repartitionByRange(n, "doc_id", "key").sortWithinPartitions("doc_id", "key").select("doc_id", "text")
     return sorted_docs.mapInArrow(save, "part long, path string, docs long, tokens long").collect()
 
 

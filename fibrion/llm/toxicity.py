@@ -22,8 +22,9 @@ from . import common
 
 WINDOW, STRIDE = 32, 24
 WORD_SLOTS, CHAR_SLOTS, WORD_DIM, CHAR_DIM, HIDDEN = 1 << 15, 1 << 12, 6, 6, 8
-#: Labelled documents that the network is fitted on, at most, of each label: those of the least hashes.
-SAMPLE_OF = {1: 2_000, 0: 2_500}
+#: Labelled documents that the network is fitted on, at most, of each label: those of the least hashes among texts of at
+#: most LONGEST characters, so what comes to the driver is bounded in bytes too.
+SAMPLE_OF, LONGEST = {1: 2_000, 0: 2_500}, 20_000
 ROUNDS, EPOCHS, LEAST_STEPS, BATCH, SEED = 2, 6, 200, 128, 5
 #: Log-odds that a toxic document's strongest word must have for its label to count in full.
 EVIDENCE = 1.5
@@ -326,13 +327,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: dict[int, int] | None = None) -> Network:
-    """Fits on at most `most` labelled documents of each label, none held out: those with the least hashes of doc_id."""
-    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long"), "toxic").distinct()
+def fit(docs: DataFrame, labels: DataFrame, most: dict[int, int] | None = None, longest: int = LONGEST) -> Network:
+    """Fits on at most `most` labelled documents of each label, none held out: those with the least hashes of doc_id among
+    texts of at most `longest` characters. Rows that share a doc_id count as one, the least text; a doc_id with both
+    labels counts for both. Null labels, ids and texts are left out."""
+    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).distinct()
+    fit_for = docs.where(F.length("text") <= longest).select(F.col("doc_id").cast("long"))
+    usable = usable.join(fit_for, "doc_id", "left_semi")
     parts = [usable.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for v, n in (most or SAMPLE_OF).items()]
     chosen = parts[0].unionByName(parts[1])  # bounded by `most`
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["text"] or ""))
+    found = docs.where(F.length("text") <= longest).select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")
+    rows = found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["toxic"]))
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 

@@ -7,9 +7,8 @@ codes of the first `kept` words it meets; the ids never depend on that.
 
 from __future__ import annotations
 
-from itertools import chain
-
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +29,10 @@ class WordCodes:
     that each id stands for; plain: RE2 pattern that no plain text matches; leading: the first word of a text is coded
     as after a line end, whose single id is dropped."""
 
-    def __init__(self, words, whole, width: np.ndarray, unplain: str, leading: bool, kept: int = 300_000):
-        self.words, self.whole, self.width, self.unplain, self.leading, self.kept = words, whole, width, unplain, leading, kept
+    def __init__(self, words, whole, width: np.ndarray, unplain: str, leading: bool, kept: int = 300_000, held=None):
+        """held(texts, ids, count, cut): is given every new word (cut) and every text that goes to the library whole, with
+        the ids end to end and how many each has."""
+        self.words, self.whole, self.width, self.unplain, self.leading, self.kept, self.held = words, whole, width, unplain, leading, kept, held
         self.known: dict[str, int] = {}
         self.pool, self.used = np.empty(1 << 16, "<u4"), 0
         self.off = np.empty(1 << 14, "i8")
@@ -51,7 +52,10 @@ class WordCodes:
         cuts = np.searchsorted(at, ends)
         if len(ids) and not np.array_equal(at[cuts], ends):
             raise ValueError("a token reaches over a word's end: this vocabulary can't be cut at words")
-        return ids, np.diff(cuts + 1, prepend=0)
+        n = np.diff(cuts + 1, prepend=0)
+        if self.held:
+            self.held(words, ids, n, True)
+        return ids, n
 
     def _codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(pool, start, length) for distinct words."""
@@ -111,7 +115,10 @@ class WordCodes:
         hard_i = np.flatnonzero(hard & (pc.binary_length(texts).to_numpy() > 0))
         if not len(hard_i):
             return easy, count
-        rest, k = self._ids(self.whole, texts.take(pa.array(hard_i)).to_pylist())
+        whole = texts.take(pa.array(hard_i)).to_pylist()
+        rest, k = self._ids(self.whole, whole)
+        if self.held:
+            self.held(whole, rest, k, False)
         count[hard_i] = k
         out, slot = np.empty(len(easy) + len(rest), "<u4"), np.repeat(hard, count)
         out[~slot], out[slot] = easy, rest
