@@ -10,10 +10,10 @@ from fibrion.llm import common, exact_dedup, language_id, mixing, near_dedup, se
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _keep(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The documents whose row numbers (in the order of the stored table) `rows` has, once for each time it has them."""
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS)
-    return numbered.join(rows.select("row"), "row").select(*COLUMNS)
+def _keep(held: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents of a stored table whose `row` is in `rows`, once for each time it is there. Null ids, ties, repeated
+    rows and empty tables need no care: rows are told apart by their stored number alone."""
+    return held.join(rows.select("row"), "row").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,31 +24,34 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Exact dedup: of equal texts the row with the largest doc_id stays."""
-    return _keep(docs, exact_dedup.exact_dedup(docs).where("kept"))
+    """Exact dedup: of equal texts the row with the largest doc_id stays (null text counts as empty)."""
+    held = common.numbered(docs, *COLUMNS)
+    return _keep(held, exact_dedup.exact_dedup(held, "row").where("kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-dedup (5-word shingles, Jaccard similarity of 0.8 or more): of each group the document with the smallest
-    doc_id stays; documents without an id take no part."""
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS)
-    found = near_dedup.near_rows(numbered.where("doc_id is not null").select("row", "text"))
-    members = common.cut(found.join(numbered.select("row", "doc_id"), "row"))
+    """Near-dedup (SimHash, then the pairs it can't reach; 5-word shingles, Jaccard similarity of 0.8 or more): of each
+    group the document with the smallest doc_id stays; documents without an id take no part."""
+    held = common.numbered(docs, *COLUMNS)
+    found = near_dedup.near_rows(held.where("doc_id is not null").select("row", "text"))
+    members = common.cut(found.join(held.select("row", "doc_id"), "row"))
     first = members.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row")
     gone = members.select("row").join(first, "row", "left_anti")
-    return numbered.join(gone, "row", "left_anti").select(*COLUMNS)
+    return held.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing: each document as often as the mix takes it (one that is in service when the budget ends counts as taken)."""
-    found = mixing.mix(docs).where("taken > 0")
+    """Mixing: each document as often as the mix takes it (one that is in service when the budget ends counts as taken;
+    documents without a word are never taken)."""
+    held = common.numbered(docs, *COLUMNS)
+    found = mixing.mix(held, row="row").where("taken > 0")
     turns = F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")).cast("long")))
-    return _keep(docs, found.select("row", turns.alias("turn")))
+    return _keep(held, found.select("row", turns.alias("turn")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece: ids of each document, and whether they decode to it."""
-    return sentencepiece_codec.encode_decode(docs, sentencepiece_codec.public_model())
+    """SentencePiece: the ids of each document, the pipeline's training text, and whether they decode to it."""
+    return sentencepiece_codec.encode_decode(docs, sentencepiece_codec.public_model(), with_ids=True)
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("mix", mix), ("encode", encode)]
@@ -57,10 +60,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result is written to the shared folder and read again."""
-    docs = common.table(spark, sf_dir, "documents").select(*COLUMNS)
+    """Applies the stages to documents; each result is written to the shared folder and read again, and the one before it
+    is removed."""
+    docs, last = common.table(spark, sf_dir, "documents").select(*COLUMNS), None
     for name, stage in STAGES:
-        out = common.fresh_dir(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+        docs, out = common.stored_at(stage(spark, docs, sf_dir), f"stage-{name}")
+        if last:
+            common.drop(spark, last)
+        last = out
     return docs
