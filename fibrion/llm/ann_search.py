@@ -7,8 +7,12 @@ product of query and code, and the scalars turn that into an estimate of query a
 is reranked (exact double inner product on the original components) unless estimate plus error bound stays below the
 k-th best exact score met so far.
 
-Queries go against all rows in blocks: rows and queries are dealt to blocks by hash, and a task holds one block of each
-(a large group of equal vectors is spread like any rows). Every row is indexed and met by every query.
+Rows lie in cells: by number of components, by nearest of some directions fitted on a bounded sample, and by the binary
+order of their length. Every row is in a cell. A query is held against the cells that promise most. How many is measured:
+some queries are held against all rows by brute force, and the least number of cells that would have given them `RECALL`
+of their neighbours is what every query gets. Vectors with structure need few cells; of vectors without any (all
+directions alike) most cells are needed, and the work then grows with the square of the table. Tables of few cells are
+searched whole. Large cells are dealt to blocks by hash, rows and queries alike.
 """
 
 from __future__ import annotations
@@ -16,8 +20,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,10 +29,18 @@ from . import common
 
 K, EVERY = 20, 20
 BOUND = 3.0  #: standard errors that an estimate may be off before its vector can be missed
-ROW_BLOCK, QUERY_BLOCK, PLANES = 8_192, 2_048, 4
+PLANES = 4
 LEAST_BITS = 256  #: bits of a code at least: short vectors are rotated into a wider space, for the error falls with its root
 STEP = 64  #: queries estimated at a time
 SEED = 7
+#: Rows a cell has on average, and how many cells there are at most; vectors of the sample that directions are fitted on
+#: a cell, numbers in the sample at most, rounds of fitting.
+CELL, MOST_CELLS, PER_CELL, SAMPLE_NUMBERS, ROUNDS = 1_024, 4_096, 32, 1 << 24, 10
+#: The share of the measured queries' neighbours that the cells must hold, how many queries are measured, cells up to which
+#: all are searched, and rows that a query's cells hold at least.
+RECALL, MEASURED, FEW_CELLS, PROBED = 0.98, 256, 8, 1_024
+ROW_BLOCK, QUERY_BLOCK = 2_048, 4_096
+LONGEST_BAND = 40  #: lengths from 2**-40 to 2**40 have bands of their own
 
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
@@ -38,18 +50,40 @@ def rotation(dim: int, seed: int = SEED) -> np.ndarray:
     return (q * np.sign(np.diag(r)))[:dim]
 
 
+_rotations: dict[int, np.ndarray] = {}
+
+
+def _rotation(dim: int) -> np.ndarray:
+    """The worker's rotation."""
+    if dim not in _rotations:
+        if len(_rotations) > 8:
+            _rotations.clear()
+        _rotations[dim] = rotation(dim)
+    return _rotations[dim]
+
+
+def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length 1, and the lengths; scaled by the largest component first, so squares neither overflow nor vanish."""
+    big = np.abs(x).max(1, keepdims=True)
+    y = x / big
+    length = np.sqrt((y * y).sum(1, keepdims=True))
+    with np.errstate(over="ignore"):
+        norm = np.minimum(big * length, np.finfo("f8").max)
+    return y / length, norm[:, 0]
+
+
 def encode(x: np.ndarray, rot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(packed codes n x words, lengths, inner products of unit vector and code)."""
-    norm = np.sqrt((x * x).sum(1))
-    y = (x / norm[:, None]) @ rot
-    bits = y > 0
+    u, norm = unit(x)
+    y = u @ rot
     factor = np.abs(y).sum(1) / np.sqrt(y.shape[1])
-    return np.packbits(bits, axis=1, bitorder="little").view("<u8"), norm, factor
+    return np.packbits(y > 0, axis=1, bitorder="little").view("<u8"), norm, factor
 
 
 def estimates(queries: np.ndarray, rot: np.ndarray, codes: np.ndarray, norm: np.ndarray, factor: np.ndarray, bound: float = BOUND) -> tuple[np.ndarray, np.ndarray]:
     """Estimated inner products of queries and coded vectors, and the bound on their error (queries x vectors)."""
-    q = queries @ rot
+    u, length = unit(queries)
+    q = u @ rot
     wide = q.shape[1]
     low = q.min(1, keepdims=True)
     step = np.maximum((q.max(1, keepdims=True) - low) / (2**PLANES - 1), 1e-300)
@@ -62,38 +96,42 @@ def estimates(queries: np.ndarray, rot: np.ndarray, codes: np.ndarray, norm: np.
             on += np.float32(1 << p) * np.bitwise_count(plane[:, w, None] & codes[None, :, w])
     ones = np.bitwise_count(codes).sum(1)
     with_code = (2 * (step * on + low * ones) - rounded.sum(1, keepdims=True)) / np.sqrt(wide)
-    length = np.sqrt((q * q).sum(1, keepdims=True))
     off = np.sqrt(((q - rounded) ** 2).sum(1, keepdims=True))
-    scale = norm / factor
-    error = bound * scale * np.sqrt(length**2 * (1 - factor**2).clip(0) / (wide - 1) + off**2 / wide)
-    return with_code * scale, error
+    error = bound * np.sqrt((1 - factor**2).clip(0) / (wide - 1) + off**2 / wide)
+    with np.errstate(over="ignore", invalid="ignore"):
+        scale = norm * length[:, None]
+        return with_code / factor * scale, error / factor * scale
 
 
 def exact(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Inner products of rows i of a and j of b, both held column by column, in double precision, components in order."""
+    """Inner products of rows i of a and j of b, both held column by column, in double precision, components in order.
+    One that overflows both ways has no value and comes last."""
     out = np.zeros(len(i))
-    for left, right in zip(a, b, strict=True):
-        out += left[i] * right[j]
-    return out
+    with np.errstate(over="ignore", invalid="ignore"):
+        for left, right in zip(a, b, strict=True):
+            out += left[i] * right[j]
+    return np.where(np.isnan(out), -np.inf, out)
 
 
-def search(qid: np.ndarray, q: np.ndarray, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, coded, rot: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search(qid: np.ndarray, q: np.ndarray, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, coded, rot: np.ndarray, k: int, bound: float = BOUND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each query's k nearest among the rows but its own: (index of query, index of row, score)."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     columns = np.ascontiguousarray(x.T)
     for lo in range(0, len(q), STEP):
         part = q[lo : lo + STEP]
-        est, err = estimates(part, rot, *coded)
-        est[qid[lo : lo + STEP, None] == rows[None, :]] = -np.inf
+        est, err = estimates(part, rot, *coded, bound)
+        own = qid[lo : lo + STEP, None] == rows[None, :]
+        est = np.where(own, -np.inf, np.nan_to_num(est))
         first = min(4 * k, len(rows))
         near = np.argpartition(-est, first - 1, axis=1)[:, :first]
         part = np.ascontiguousarray(part.T)
         score = exact(part, np.repeat(np.arange(len(near)), first), columns, near.ravel()).reshape(near.shape)
-        score[~np.isfinite(np.take_along_axis(est, near, 1))] = -np.inf
+        score[np.take_along_axis(own, near, 1)] = -np.inf
         kth = np.sort(score, axis=1)[:, -min(k, first)]
-        i, j = np.nonzero((est + err >= kth[:, None]) & np.isfinite(est))
+        with np.errstate(over="ignore"):
+            i, j = np.nonzero(~(est + np.nan_to_num(err) < kth[:, None]) & ~own)
         s = exact(part, i, columns, j)
-        reach = s >= kth[i]
+        reach = (s >= kth[i]) & (s > -np.inf)
         i, j, s = i[reach], j[reach], s[reach]
         order = np.lexsort((ids[j], -s, i))
         i, j, s = i[order], j[order], s[order]
@@ -102,55 +140,237 @@ def search(qid: np.ndarray, q: np.ndarray, rows: np.ndarray, ids: np.ndarray, x:
     return tuple(np.concatenate([o[c] for o in out]) for c in range(3))
 
 
-def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, bound: float = BOUND) -> DataFrame:
+def directions(sample: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = SEED) -> np.ndarray:
+    """k unit vectors, each near to the mean of the unit vectors that are nearest to it (fewer than k samples: one)."""
+    rng = np.random.default_rng(seed)
+    if len(sample) < k or k == 1:
+        mean = sample.sum(0, keepdims=True) if len(sample) else np.ones((1, sample.shape[1]))
+        return (mean / max(np.linalg.norm(mean), 1e-300)).astype("f4")
+    u = sample.astype("f4")
+    c = u[rng.choice(len(u), k, replace=False)]
+    for _ in range(rounds):
+        own = nearest_of(u, c)
+        total = np.zeros((k, u.shape[1]))
+        np.add.at(total, own, u)
+        lone = np.linalg.norm(total, axis=1) < 1e-9
+        total[lone] = u[rng.choice(len(u), int(lone.sum()))]
+        c = (total / np.linalg.norm(total, axis=1, keepdims=True)).astype("f4")
+    return c
+
+
+def nearest_of(u: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The direction with the largest inner product, for each vector."""
+    out = np.empty(len(u), "i4")
+    for lo in range(0, len(u), 1_024):
+        out[lo : lo + 1_024] = (u[lo : lo + 1_024] @ c.T).argmax(1)
+    return out
+
+
+def probed(u: np.ndarray, c: np.ndarray, cells: np.ndarray, probes: int, rows: int) -> list[np.ndarray]:
+    """For each unit query, the places in `cells` (direction, band, rows) that it is held against: those that promise the
+    largest inner products, as many as `probes` and as hold `rows` rows."""
+    promise = u @ c[cells[:, 0]].T + 2 / np.sqrt(u.shape[1])
+    promise = np.where(promise > 0, promise * np.exp2(cells[:, 1]), promise * np.exp2(-cells[:, 1]))
+    order = np.argsort(-promise, axis=1, kind="stable")
+    held = np.cumsum(cells[order, 2], axis=1)
+    many = np.maximum((held < rows).sum(1) + 1, probes)
+    return [o[:m] for o, m in zip(order, many, strict=True)]
+
+
+def _vectors(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, dim).astype("f8")
+
+
+def _by_length(b: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(components, rows with as many) of rows (row, vec_id, embedding)."""
+    sizes = b.column(2).value_lengths().to_numpy()
+    for dim in np.unique(sizes):
+        yield int(dim), b.filter(pa.array(sizes == dim))
+
+
+def probes_for(recall: float, ranks: np.ndarray) -> int:
+    """The least number of cells that hold `recall` of the neighbours, whose cells have these places in their queries' orders."""
+    return int(np.sort(ranks)[max(0, int(np.ceil(recall * len(ranks))) - 1)]) + 1
+
+
+def _ranks(coded: DataFrame, asks: list, centres: dict, cells: dict, k: int) -> dict[int, np.ndarray]:
+    """For each length among the measured queries, the places that the cells of their k nearest have in their orders."""
+    ids = {dim: np.array([r["row"] for r in asks if r["dim"] == dim], "i8") for dim in {r["dim"] for r in asks}}
+    q = {dim: np.array([r["embedding"] for r in asks if r["dim"] == dim], "f8") for dim in ids}
+    shared = coded.sparkSession.sparkContext.broadcast((ids, q))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each task's k best rows of each query."""
+        ids, q = shared.value
+        best = {dim: [np.empty((len(q[dim]), 0)) for _ in range(3)] for dim in q}  # scores, centres, bands
+        for b in batches:
+            for dim, part in _by_length(b):
+                if dim in q:
+                    s = exact_all(q[dim], _vectors(part.column(2), dim))
+                    s[ids[dim][:, None] == part.column(0).to_numpy()[None, :]] = -np.inf
+                    new = [s, *(np.broadcast_to(part.column(c).to_numpy().astype("f8"), s.shape) for c in (3, 4))]
+                    both = [np.concatenate(x, 1) for x in zip(best[dim], new, strict=True)]
+                    top = np.argsort(-both[0], axis=1, kind="stable")[:, :k]
+                    best[dim] = [np.take_along_axis(x, top, 1) for x in both]
+        for dim, (s, c, band) in best.items():
+            at = np.repeat(np.arange(len(s)), s.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(s.size, dim, "i4")), pa.array(at), pa.array(s.ravel()), pa.array(c.ravel()), pa.array(band.ravel())], names=["dim", "query", "score", "centre", "band"])
+
+    rows = coded.select("row", "vec_id", "embedding", "centre", "band").mapInArrow(score, "dim int, query long, score double, centre double, band double")
+    best = Window.partitionBy("dim", "query").orderBy(F.desc("score"))
+    found = rows.where("score > double('-inf')").withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).collect()  # MEASURED x k rows
+    out: dict[int, list[int]] = {}
+    for dim, x in q.items():
+        order = probed(unit(x)[0].astype("f4"), centres[dim], cells[dim], len(cells[dim]), 0)
+        names = {(c, band): i for i, (c, band, _) in enumerate(cells[dim].tolist())}
+        places = [dict(zip(o.tolist(), range(len(o)), strict=True)) for o in order]
+        out[dim] = [places[r["query"]][names[int(r["centre"]), int(r["band"])]] for r in found if r["dim"] == dim]
+    return {dim: np.array(v) for dim, v in out.items() if v}
+
+
+def exact_all(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """All inner products of two sets of vectors, in double precision."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        s = q @ x.T
+    return np.where(np.isnan(s), -np.inf, s)
+
+
+def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, bound: float = BOUND, cell: int = CELL, recall: float = RECALL, most_cells: int = MOST_CELLS) -> DataFrame:
     """(vec_id, embedding) -> query_id, rank, vec_id, score for the rows whose vec_id is divisible by `every`.
 
-    Vectors that are null, empty, zero, of another length than most, or hold null or non-finite components take no part,
-    nor do rows with a null vec_id. Rows that repeat a vec_id are candidates and queries of their own (a row is never its
-    own neighbour). An empty table gives an empty result. Other columns are left out.
+    Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows with a null vec_id.
+    Vectors of other lengths are searched among their own length. Rows that repeat a vec_id are candidates and queries of
+    their own (a row is never its own neighbour). A pair whose inner product overflows both ways takes no part. An empty
+    table gives an empty result. Other columns are left out.
+
+    Directions are fitted on at most PER_CELL vectors a cell (SAMPLE_NUMBERS numbers in all), those of the least hashes;
+    the number of cells searched is measured on the MEASURED queries of the least hashes, against all rows.
     """
     spark = common.ship(vectors.sparkSession)
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where("vec_id is not null and size(embedding) > 0")
+    kind = "array<float>" if "FloatType" in repr(vectors.schema["embedding"].dataType) else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind)).where("vec_id is not null and size(embedding) > 0")
     rows = rows.where(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0))
-    sizes = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).orderBy(F.desc("n"), "dim").first()
-    dim, n, n_queries = (sizes["dim"], sizes["n"], sizes["q"]) if sizes else (1, 0, 0)
-    blocks, query_blocks = -(-n // ROW_BLOCK) or 1, -(-n_queries // QUERY_BLOCK) or 1
-    rot = rotation(dim)
+    sizes = {r["dim"]: r["n"] for r in rows.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).collect()}  # a row a length
+    total = sum(sizes.values())
+    of = {dim: max(1, min(n // cell, most_cells * n // total)) for dim, n in sizes.items()}
+    centres = {dim: np.zeros((1, dim), "f4") for dim in sizes}
+    many = {dim: m for dim, m in of.items() if m > 1}
+    if many:
+        share = min(1.0, sum(PER_CELL * m for m in many.values()) / total, SAMPLE_NUMBERS / sum(d * sizes[d] for d in many))
+        at = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(1 << 30))
+        drawn = rows.where((at < int(share * (1 << 30))) & F.size("embedding").isin(list(many))).select("embedding")
+        held = drawn.limit(2 * int(share * total) + 1_000).toArrow().column(0).combine_chunks()
+        lengths = held.value_lengths().to_numpy()
+        for dim, m in many.items():
+            centres[dim] = directions(unit(_vectors(held.filter(pa.array(lengths == dim)), dim))[0], m)
+    shared = spark.sparkContext.broadcast(centres)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array(b.column(2).flatten().to_numpy().reshape(-1, dim))
-            codes, norm, factor = encode(x, rot) if len(x) else (np.empty((0, rot.shape[1] // 64), "u8"), np.empty(0), np.empty(0))
-            packed = pa.array([c.tobytes() for c in codes], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, packed, pa.array(norm), pa.array(factor)], names=["row", "vec_id", "embedding", "code", "norm", "factor"])
-
-    ddl = "row long, vec_id long, embedding array<double>, code binary, norm double, factor double"
-    base = rows.where(F.size("embedding") == dim).select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding")
-    coded = common.cut(base.mapInArrow(index, ddl))
-    columns = ["row", "vec_id", "embedding", "code", "norm", "factor", "rb", "qb", "asked"]
-    own_block, own_query = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("row"), F.lit(query_blocks)).cast("int")
-    dealt = coded.select("*", own_block.alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), F.lit(False).alias("asked"))
-    asked = coded.where(F.col("vec_id") % every == 0).select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("rb"), own_query.alias("qb"), F.lit(True).alias("asked"))
-
-    def block(held: pd.DataFrame) -> pd.DataFrame:
-        left, right = held[~held["asked"]], held[held["asked"]]
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_row": [], "query_id": [], "vec_id": [], "score": []}).astype({"query_row": "i8", "query_id": "i8", "vec_id": "i8"})
-        x, ids = np.stack(left["embedding"].to_numpy()), left["vec_id"].to_numpy()
-        codes = np.frombuffer(b"".join(left["code"]), "<u8").reshape(len(left), -1)
-        i, j, s = search(right["row"].to_numpy(), np.stack(right["embedding"].to_numpy()), left["row"].to_numpy(), ids, x, (codes, left["norm"].to_numpy(), left["factor"].to_numpy()), rot, k)
-        return pd.DataFrame({"query_row": right["row"].to_numpy()[i], "query_id": right["vec_id"].to_numpy()[i], "vec_id": ids[j], "score": s})
-
-    united = dealt.select(columns).unionByName(asked.select(columns))
-    found = united.groupBy("rb", "qb").applyInPandas(block, "query_row long, query_id long, vec_id long, score double").where("score > double('-inf')")
+            for dim, part in _by_length(b):
+                x = _vectors(part.column(2), dim)
+                codes, norm, factor = encode(x, _rotation(dim))
+                own = nearest_of(unit(x)[0].astype("f4"), shared.value[dim])
+                band = np.rint(np.log2(norm)).clip(-LONGEST_BAND, LONGEST_BAND).astype("i4")
+                packed = pa.array([c.tobytes() for c in codes], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, packed, pa.array(norm), pa.array(factor), pa.array(np.full(len(x), dim, "i4")), pa.array(own), pa.array(band)], names=[*part.schema.names, "code", "norm", "factor", "dim", "centre", "band"])
+
+    base = rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding")
+    coded = common.cut(base.mapInArrow(index, f"row long, vec_id long, embedding {kind}, code binary, norm double, factor double, dim int, centre int, band int"))
+    found: dict[int, list[tuple[int, int, int]]] = {}
+    for r in coded.groupBy("dim", "centre", "band").agg(F.count("*").alias("n")).collect():  # a row a cell
+        found.setdefault(r["dim"], []).append((r["centre"], r["band"], r["n"]))
+    cells = {dim: np.array(sorted(v)) for dim, v in found.items()}
+    first = dict(zip(cells, np.cumsum([0, *map(len, cells.values())]).tolist(), strict=False))
+    is_query = F.col("vec_id") % every == 0
+    probes = {dim: len(own) for dim, own in cells.items()}
+    large = [dim for dim, own in cells.items() if len(own) > FEW_CELLS]
+    if large:
+        asks = coded.where(is_query & F.col("dim").isin(large)).orderBy(F.xxhash64("vec_id", "embedding"), "row").limit(MEASURED).select("row", "embedding", "dim").collect()
+        for dim, ranks in _ranks(coded, asks, centres, cells, k).items():
+            probes[dim] = probes_for(recall, ranks)
+    table = spark.sparkContext.broadcast((cells, first, probes))
+
+    def routed(part: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
+        """(index of query, cell) of a batch's queries."""
+        own, start, many = (t[dim] for t in table.value)
+        lists: list[np.ndarray] = []
+        u = unit(_vectors(part.column(2), dim))[0].astype("f4")
+        for lo in range(0, len(u), 256):
+            lists += probed(u[lo : lo + 256], shared.value[dim], own, many, PROBED)
+        return np.repeat(np.arange(len(u)), list(map(len, lists))), np.concatenate(lists) + start
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for dim, part in _by_length(b):
+                yield pa.RecordBatch.from_arrays([pa.array(routed(part, dim)[1], pa.int64())], names=["cell"])
+
+    asked = coded.where(is_query).select("row", "vec_id", "embedding").mapInArrow(route, "cell long").groupBy("cell").agg(F.count("*").alias("n")).collect()
+    n_cells = sum(map(len, cells.values()))
+    blocks = np.ones(n_cells, "i8")
+    for dim, own in cells.items():
+        blocks[first[dim] : first[dim] + len(own)] = -(-own[:, 2] // ROW_BLOCK)
+    query_blocks = np.zeros(n_cells, "i8")
+    for r in asked:
+        query_blocks[r["cell"]] = -(-r["n"] // QUERY_BLOCK)
+    dealt = spark.sparkContext.broadcast((blocks, query_blocks))
+    out_schema = f"cell long, rb int, qb int, asked boolean, row long, vec_id long, embedding {kind}, code binary, norm double, factor double"
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row to its cell, once for each block of queries there; each query to all blocks of its cells."""
+
+        def out(part: pa.RecordBatch, take: np.ndarray, cell: np.ndarray, rb: np.ndarray, qb: np.ndarray, asks: bool) -> pa.RecordBatch:
+            t = part.take(pa.array(take))
+            keys = [pa.array(cell, pa.int64()), pa.array(rb, pa.int32()), pa.array(qb, pa.int32()), pa.array(np.full(len(take), asks))]
+            cols = [pa.nulls(len(take), c.type) if asks and i > 2 else c for i, c in enumerate(t.columns[:6])]
+            return pa.RecordBatch.from_arrays([*keys, *cols], names=["cell", "rb", "qb", "asked", *t.schema.names[:6]])
+
+        blocks, query_blocks = dealt.value
+        for b in batches:
+            for dim, part in _by_length(b):
+                own, start = table.value[0][dim], table.value[1][dim]
+                place = {(c, d): i + start for i, (c, d, _) in enumerate(own.tolist())}
+                cell = np.array([place[x] for x in zip(part.column(7).to_pylist(), part.column(8).to_pylist(), strict=True)])
+                key = part.column(0).to_numpy()
+                times = query_blocks[cell]
+                take = np.repeat(np.arange(len(cell)), times)
+                qb = np.arange(len(take)) - np.repeat(np.cumsum(times) - times, times)
+                yield out(part, take, cell[take], key[take] % blocks[cell[take]], qb, False)
+                queries = part.filter(pa.array(part.column(1).to_numpy() % every == 0))
+                if queries.num_rows:
+                    i, cell = routed(queries, dim)
+                    times = blocks[cell]
+                    take = np.repeat(np.arange(len(cell)), times)
+                    rb = np.arange(len(take)) - np.repeat(np.cumsum(times) - times, times)
+                    own_key = queries.column(0).to_numpy()[i[take]]
+                    for lo in range(0, len(take), 20_000):
+                        h = slice(lo, lo + 20_000)
+                        yield out(queries, i[take[h]], cell[take[h]], rb[h], own_key[h] % query_blocks[cell[take[h]]], True)
+
+    def block(held: pa.Table) -> pa.Table:
+        names = ["query_row", "query_id", "vec_id", "score"]
+        asks = held.column("asked").combine_chunks()
+        left, right = held.filter(pc.invert(asks)).combine_chunks(), held.filter(asks).combine_chunks()
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], pa.int64())] * 3 + [pa.array([], pa.float64())], names=names)
+        dim = len(left.column("embedding")[0])
+        x, q = (_vectors(t.column("embedding").combine_chunks(), dim) for t in (left, right))
+        numpy = lambda t, c: t.column(c).to_numpy()
+        codes = np.frombuffer(b"".join(left.column("code").to_pylist()), "<u8").reshape(len(x), -1)
+        i, j, s = search(numpy(right, "row"), q, numpy(left, "row"), numpy(left, "vec_id"), x, (codes, numpy(left, "norm"), numpy(left, "factor")), _rotation(dim), k, bound)
+        return pa.table([pa.array(numpy(right, "row")[i]), pa.array(numpy(right, "vec_id")[i]), pa.array(numpy(left, "vec_id")[j]), pa.array(s)], names=names)
+
+    spread = coded.mapInArrow(deal, out_schema)
+    near = spread.groupBy("cell", "rb", "qb").applyInArrow(block, "query_row long, query_id long, vec_id long, score double")
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(common.table(spark, sf_dir, "embeddings"))
 
 
+#: Brute force over all rows; equal to the query where all cells are searched, as on tables of up to FEW_CELLS x CELL rows.
 OP3_SQL = """
 WITH v AS (
   SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
