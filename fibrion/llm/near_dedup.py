@@ -6,8 +6,8 @@ n - ceil(t n) + 1 members (of n) meet. The order puts rare shingles first, by a
 common line or passage is seldom among them. Only texts that share such a shingle are compared: first on bitmaps of their
 sets, which differ in no more bits than the sets in members, so no pair is lost there, and what is left on the whole sets.
 
-SimHash goes first (simhash_dedup: fingerprints of the same shingles, Gray-order index): each text of a fingerprint group
-is held against the group's first, and what reaches the similarity is joined. Fingerprints within two bits are few of the
+SimHash goes first (simhash_dedup: fingerprints of the same shingles, Gray-order index): what its index links is held
+against the sets, and what reaches the similarity is joined. Fingerprints within two bits are few of the
 pairs at 0.8 (those differ in 3 to 11 bits), so the join finds the rest. A large group of copies is not compared pair by
 pair either: every text is held against two that share its shingle, the first and the next one in size, and what passes
 is joined; then all pairs of texts that share one and aren't joined yet are compared. A pair left out is in one component
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .simhash_dedup import fingerprints, near_groups
+from .simhash_dedup import fingerprints, near_links
 
 SHINGLE = 5
 #: Similarity 0.8, as a fraction.
@@ -233,8 +233,9 @@ def near_rows(rows: DataFrame) -> DataFrame:
         return alike(common.cut(dealt.mapInArrow(_candidates(star), "a long, b long").distinct()))
 
     prints = common.cut(fingerprints(rows.select("row", F.col("row").alias("doc_id"), "text"), SHINGLE))
-    groups = common.salted_left_join(prints, near_groups(prints), ["fp"], "row")  # the component is its least row
-    links = alike(common.cut(groups.where("component < row").select(F.col("component").alias("a"), F.col("row").alias("b"))))
+    nodes, edges_of_prints = near_links(prints)  # ids are rows here
+    copies = common.salted_left_join(prints, nodes.where("docs > 1").select("fp", "node"), ["fp"], "row").where("node < row")
+    links = alike(common.cut(copies.select(F.col("node").alias("a"), F.col("row").alias("b")).unionByName(edges_of_prints)))
     stars = edges(shared.withColumn("label", F.col("size").cast("long")), True)
     found = common.cut(components(links.unionByName(stars)).withColumnRenamed("node", "row"))
     labelled = shared.join(found.withColumnRenamed("component", "label"), "row", "left").withColumn("label", F.coalesce("label", "row"))

@@ -182,16 +182,22 @@ def _search(limit: int):
     return run
 
 
-def near_groups(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, fp) -> (fp, component): for each fingerprint that more than one document has or that links to another,
-    the smallest doc_id that its documents reach. Needs limit <= 2 (the six fronts)."""
+def near_links(prints: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) -> the distinct fingerprints (fp, node: their smallest doc_id, docs), and edges (a, b) of nodes that join
+    all whose fingerprints differ in at most `limit` bits. Needs limit <= 2 (the six fronts)."""
     if limit > 2:
         raise ValueError("the fronts find every link only up to 2 differing bits")
     n = common.partitions(prints.sparkSession)
     nodes = common.cut(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("docs")))
     laid = nodes.select("fp", "node").mapInArrow(_lay, "place int, rank long, fp long, node long")
     dealt = laid.repartition(n, "place", F.shiftright("rank", 32)).sortWithinPartitions("place", "rank")
-    edges = dealt.mapInArrow(_search(limit), "a long, b long")
+    return nodes, dealt.mapInArrow(_search(limit), "a long, b long")
+
+
+def near_groups(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(doc_id, fp) -> (fp, component): for each fingerprint that more than one document has or that links to another,
+    the smallest doc_id that its documents reach."""
+    nodes, edges = near_links(prints, limit)
     found = components(edges)
     linked = nodes.join(found, nodes.node == found.node, "left").select("fp", "docs", F.coalesce("component", nodes.node).alias("component"), found.node.isNotNull().alias("linked"))
     return linked.where("linked or docs > 1").select("fp", "component")
