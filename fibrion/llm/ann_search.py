@@ -12,7 +12,8 @@ order of their length. Every row is in a cell. A query is held against the cells
 some queries are held against all rows by brute force, and the least number of cells that would have given them `RECALL`
 of their neighbours is what every query gets. Vectors with structure need few cells; of vectors without any (all
 directions alike) most cells are needed, and the work then grows with the square of the table. Tables of few cells are
-searched whole. Large cells are dealt to blocks by hash, rows and queries alike.
+searched whole. Neighbouring cells are bundled, so a query goes once to a bundle and brings k rows back from it; a large
+cell is a bundle of its own and dealt to blocks by hash. Queries of a bundle are dealt to blocks too.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ CELL, MOST_CELLS, PER_CELL, SAMPLE_NUMBERS, ROUNDS = 1_024, 4_096, 32, 1 << 24,
 #: The share of the measured queries' neighbours that the cells must hold, how many queries are measured, cells up to which
 #: all are searched, and rows that a query's cells hold at least.
 RECALL, MEASURED, FEW_CELLS, PROBED = 0.98, 256, 8, 1_024
-ROW_BLOCK, QUERY_BLOCK = 2_048, 4_096
+ROW_BLOCK, QUERY_BLOCK = 8_192, 4_096  #: rows of a bundle, or of a large cell's block, and queries that a task holds
 LONGEST_BAND = 40  #: lengths from 2**-40 to 2**40 have bands of their own
 
 
@@ -113,8 +114,9 @@ def exact(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndar
     return np.where(np.isnan(out), -np.inf, out)
 
 
-def search(qid: np.ndarray, q: np.ndarray, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, coded, rot: np.ndarray, k: int, bound: float = BOUND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each query's k nearest among the rows but its own: (index of query, index of row, score)."""
+def search(qid: np.ndarray, q: np.ndarray, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, coded, rot: np.ndarray, k: int, bound: float = BOUND, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k nearest among the rows but its own, without those below the query's floor: (index of query, index of
+    row, score)."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     columns = np.ascontiguousarray(x.T)
     for lo in range(0, len(q), STEP):
@@ -127,7 +129,9 @@ def search(qid: np.ndarray, q: np.ndarray, rows: np.ndarray, ids: np.ndarray, x:
         part = np.ascontiguousarray(part.T)
         score = exact(part, np.repeat(np.arange(len(near)), first), columns, near.ravel()).reshape(near.shape)
         score[np.take_along_axis(own, near, 1)] = -np.inf
-        kth = np.sort(score, axis=1)[:, -min(k, first)]
+        kth = np.sort(score, axis=1)[:, -k] if first >= k else np.full(len(score), -np.inf)
+        if floor is not None:
+            kth = np.maximum(kth, floor[lo : lo + STEP])
         with np.errstate(over="ignore"):
             i, j = np.nonzero(~(est + np.nan_to_num(err) < kth[:, None]) & ~own)
         s = exact(part, i, columns, j)
@@ -177,6 +181,20 @@ def probed(u: np.ndarray, c: np.ndarray, cells: np.ndarray, probes: int, rows: i
     return [o[:m] for o, m in zip(order, many, strict=True)]
 
 
+def bundles(own: np.ndarray, c: np.ndarray, size: int) -> np.ndarray:
+    """The bundle of each cell (direction, band, rows): neighbouring directions together, up to `size` rows; larger cells alone."""
+    near = nearest_of(c, directions(c, max(1, len(c) // 16))) if len(c) > 16 else np.zeros(len(c), "i4")
+    out = np.zeros(len(own), "i8")
+    last, held = -1, size + 1
+    for i in np.lexsort((own[:, 1], own[:, 0], near[own[:, 0]])):
+        n = int(own[i, 2])
+        if held + n > size:
+            last, held = last + 1, 0
+        out[i] = last
+        held += n
+    return out
+
+
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(-1, dim).astype("f8")
 
@@ -289,41 +307,59 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, bound: float = B
         asks = coded.where(is_query & F.col("dim").isin(large)).orderBy(F.xxhash64("vec_id", "embedding"), "row").limit(MEASURED).select("row", "embedding", "dim").collect()
         for dim, ranks in _ranks(coded, asks, centres, cells, k).items():
             probes[dim] = probes_for(recall, ranks)
-    table = spark.sparkContext.broadcast((cells, first, probes))
-
-    def routed(part: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
-        """(index of query, cell) of a batch's queries."""
-        own, start, many = (t[dim] for t in table.value)
-        lists: list[np.ndarray] = []
+    n_cells = sum(map(len, cells.values()))
+    bundle, n_bundles = np.zeros(n_cells, "i8"), 0
+    held_rows = np.zeros(n_cells, "i8")
+    for dim, own in cells.items():
+        at = slice(first[dim], first[dim] + len(own))
+        bundle[at] = bundles(own, centres[dim], ROW_BLOCK) + n_bundles
+        n_bundles = int(bundle[at].max()) + 1
+        held_rows[at] = own[:, 2]
+    blocks = -(-np.bincount(bundle, held_rows, n_bundles).astype("i8") // ROW_BLOCK)
+    table = spark.sparkContext.broadcast((cells, first, probes, bundle))
+
+    def routed(part: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(index of query, bundle, the query's cells in it) of a batch's queries."""
+        own, start, many = (t[dim] for t in table.value[:3])
         u = unit(_vectors(part.column(2), dim))[0].astype("f4")
+        at, where, inside = [], [], []
         for lo in range(0, len(u), 256):
-            lists += probed(u[lo : lo + 256], shared.value[dim], own, many, PROBED)
-        return np.repeat(np.arange(len(u)), list(map(len, lists))), np.concatenate(lists) + start
+            for i, places in enumerate(probed(u[lo : lo + 256], shared.value[dim], own, many, PROBED), lo):
+                places = places + start
+                of = table.value[3][places]
+                order = np.argsort(of, kind="stable")
+                names, begin = np.unique(of[order], return_index=True)
+                at += [i] * len(names)
+                where += names.tolist()
+                inside += np.split(places[order], begin[1:])
+        return np.array(at, "i8"), np.array(where, "i8"), inside
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for dim, part in _by_length(b):
-                yield pa.RecordBatch.from_arrays([pa.array(routed(part, dim)[1], pa.int64())], names=["cell"])
+                yield pa.RecordBatch.from_arrays([pa.array(routed(part, dim)[1], pa.int64())], names=["bundle"])
 
-    asked = coded.where(is_query).select("row", "vec_id", "embedding").mapInArrow(route, "cell long").groupBy("cell").agg(F.count("*").alias("n")).collect()
-    n_cells = sum(map(len, cells.values()))
-    blocks = np.ones(n_cells, "i8")
-    for dim, own in cells.items():
-        blocks[first[dim] : first[dim] + len(own)] = -(-own[:, 2] // ROW_BLOCK)
-    query_blocks = np.zeros(n_cells, "i8")
+    asked = coded.where(is_query).select("row", "vec_id", "embedding").mapInArrow(route, "bundle long").groupBy("bundle").agg(F.count("*").alias("n")).collect()  # a row a bundle
+    query_blocks = np.zeros(n_bundles, "i8")
     for r in asked:
-        query_blocks[r["cell"]] = -(-r["n"] // QUERY_BLOCK)
+        query_blocks[r["bundle"]] = -(-r["n"] // QUERY_BLOCK)
     dealt = spark.sparkContext.broadcast((blocks, query_blocks))
-    out_schema = f"cell long, rb int, qb int, asked boolean, row long, vec_id long, embedding {kind}, code binary, norm double, factor double"
+    out_schema = f"bundle long, rb int, qb int, asked boolean, cells array<int>, row long, vec_id long, embedding {kind}, code binary, norm double, factor double"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each row to its cell, once for each block of queries there; each query to all blocks of its cells."""
+        """Each row to its cell's bundle, once for each block of queries there; each query to all blocks of its bundles."""
 
-        def out(part: pa.RecordBatch, take: np.ndarray, cell: np.ndarray, rb: np.ndarray, qb: np.ndarray, asks: bool) -> pa.RecordBatch:
+        def out(part: pa.RecordBatch, take: np.ndarray, where: np.ndarray, rb: np.ndarray, qb: np.ndarray, inside: list[np.ndarray], asks: bool) -> pa.RecordBatch:
             t = part.take(pa.array(take))
-            keys = [pa.array(cell, pa.int64()), pa.array(rb, pa.int32()), pa.array(qb, pa.int32()), pa.array(np.full(len(take), asks))]
+            ends = np.concatenate([[0], np.cumsum([len(c) for c in inside])])
+            own = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*inside, np.empty(0, "i8")]), pa.int32()))
+            keys = [pa.array(where, pa.int64()), pa.array(rb, pa.int32()), pa.array(qb, pa.int32()), pa.array(np.full(len(take), asks)), own]
             cols = [pa.nulls(len(take), c.type) if asks and i > 2 else c for i, c in enumerate(t.columns[:6])]
-            return pa.RecordBatch.from_arrays([*keys, *cols], names=["cell", "rb", "qb", "asked", *t.schema.names[:6]])
+            return pa.RecordBatch.from_arrays([*keys, *cols], names=["bundle", "rb", "qb", "asked", "cells", *t.schema.names[:6]])
+
+        def spread(times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            take = np.repeat(np.arange(len(times)), times)
+            return take, np.arange(len(take)) - np.repeat(np.cumsum(times) - times, times)
 
         blocks, query_blocks = dealt.value
         for b in batches:
@@ -331,21 +367,17 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, bound: float = B
                 own, start = table.value[0][dim], table.value[1][dim]
                 place = {(c, d): i + start for i, (c, d, _) in enumerate(own.tolist())}
                 cell = np.array([place[x] for x in zip(part.column(7).to_pylist(), part.column(8).to_pylist(), strict=True)])
-                key = part.column(0).to_numpy()
-                times = query_blocks[cell]
-                take = np.repeat(np.arange(len(cell)), times)
-                qb = np.arange(len(take)) - np.repeat(np.cumsum(times) - times, times)
-                yield out(part, take, cell[take], key[take] % blocks[cell[take]], qb, False)
+                where, key = table.value[3][cell], part.column(0).to_numpy()
+                take, qb = spread(query_blocks[where])
+                yield out(part, take, where[take], key[take] % blocks[where[take]], qb, list(cell[take, None]), False)
                 queries = part.filter(pa.array(part.column(1).to_numpy() % every == 0))
                 if queries.num_rows:
-                    i, cell = routed(queries, dim)
-                    times = blocks[cell]
-                    take = np.repeat(np.arange(len(cell)), times)
-                    rb = np.arange(len(take)) - np.repeat(np.cumsum(times) - times, times)
+                    i, where, inside = routed(queries, dim)
+                    take, rb = spread(blocks[where])
                     own_key = queries.column(0).to_numpy()[i[take]]
                     for lo in range(0, len(take), 20_000):
-                        h = slice(lo, lo + 20_000)
-                        yield out(queries, i[take[h]], cell[take[h]], rb[h], own_key[h] % query_blocks[cell[take[h]]], True)
+                        t = take[lo : lo + 20_000]
+                        yield out(queries, i[t], where[t], rb[lo : lo + 20_000], own_key[lo : lo + 20_000] % query_blocks[where[t]], [inside[j] for j in t], True)
 
     def block(held: pa.Table) -> pa.Table:
         names = ["query_row", "query_id", "vec_id", "score"]
@@ -357,11 +389,30 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, bound: float = B
         x, q = (_vectors(t.column("embedding").combine_chunks(), dim) for t in (left, right))
         numpy = lambda t, c: t.column(c).to_numpy()
         codes = np.frombuffer(b"".join(left.column("code").to_pylist()), "<u8").reshape(len(x), -1)
-        i, j, s = search(numpy(right, "row"), q, numpy(left, "row"), numpy(left, "vec_id"), x, (codes, numpy(left, "norm"), numpy(left, "factor")), _rotation(dim), k, bound)
-        return pa.table([pa.array(numpy(right, "row")[i]), pa.array(numpy(right, "vec_id")[i]), pa.array(numpy(left, "vec_id")[j]), pa.array(s)], names=names)
+        row, ids, norm, factor = (numpy(left, c) for c in ("row", "vec_id", "norm", "factor"))
+        qrow, qid = numpy(right, "row"), numpy(right, "vec_id")
+        cell = left.column("cells").combine_chunks().flatten().to_numpy()
+        lists = right.column("cells").combine_chunks()
+        of = np.repeat(np.arange(len(q)), lists.value_lengths().to_numpy())
+        wanted = lists.flatten().to_numpy()
+        best = np.full((len(q), k), -np.inf)
+        found = []
+        for c in np.unique(cell):
+            rows, at = np.flatnonzero(cell == c), of[wanted == c]
+            if len(at):
+                i, j, s = search(qrow[at], q[at], row[rows], ids[rows], x[rows], (codes[rows], norm[rows], factor[rows]), _rotation(dim), k, bound, best[at, 0])
+                new = np.full((len(at), k), -np.inf)
+                new[i, np.arange(len(i)) - np.searchsorted(i, i)] = s
+                best[at] = np.sort(np.concatenate([best[at], new], 1), axis=1)[:, -k:]
+                found.append((at[i], rows[j], s))
+        i, j, s = (np.concatenate([f[c] for f in found]) if found else np.empty(0, "i8") for c in range(3))
+        order = np.lexsort((ids[j], -s, i))
+        i, j, s = i[order], j[order], s[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        return pa.table([pa.array(qrow[i[keep]]), pa.array(qid[i[keep]]), pa.array(ids[j[keep]]), pa.array(s[keep].astype("f8"))], names=names)
 
     spread = coded.mapInArrow(deal, out_schema)
-    near = spread.groupBy("cell", "rb", "qb").applyInArrow(block, "query_row long, query_id long, vec_id long, score double")
+    near = spread.groupBy("bundle", "rb", "qb").applyInArrow(block, "query_row long, query_id long, vec_id long, score double")
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
