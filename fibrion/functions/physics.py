@@ -26,23 +26,32 @@ class Settings:
         return self.elink * ((self.llink / np.arange(1, self.llink + 1)) ** 6 - 1) ** 2 if self.llink else np.empty(0)
 
 
-def _sweep(lw: np.ndarray, s: Settings) -> np.ndarray:
-    """log f(x), molecules x positions."""
+def _sweep(lw: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each last start x (molecules x positions): log f(x), and the first two moments of the number of starts up to it."""
     n, npos = lw.shape
     far, lr = s.nucbp + s.llink, -s.repulsion() / s.temp
     out = np.full((n, npos), -np.inf)
-    total = np.zeros(n)  # log of 1 + f over starts at least `far` before
+    m1, m2 = np.zeros((n, npos)), np.zeros((n, npos))
+    total, t1, t2 = np.zeros(n), np.zeros(n), np.zeros(n)  # log of 1 + f over starts at least `far` before; their mean moments
     for x in range(npos):
         if x >= far:
-            total = np.logaddexp(total, out[:, x - far])
-        best = total
-        lo = max(0, x - far + 1)
+            y = x - far
+            more = np.logaddexp(total, out[:, y])
+            share = np.exp(out[:, y] - more)
+            t1, t2, total = t1 + share * (m1[:, y] - t1), t2 + share * (m2[:, y] - t2), more
+        best, a1, a2 = total, t1, t2
         if s.llink and x >= s.nucbp:
-            part = out[:, lo : x - s.nucbp + 1] + lr[: x - s.nucbp + 1 - lo][::-1]
+            near = slice(max(0, x - far + 1), x - s.nucbp + 1)
+            part = out[:, near] + lr[: near.stop - near.start][::-1]
             top = np.maximum(part.max(1), total)
-            best = top + np.log(np.exp(part - top[:, None]).sum(1) + np.exp(total - top))
+            weight, rest = np.exp(part - top[:, None]), np.exp(total - top)
+            whole = weight.sum(1) + rest
+            best = top + np.log(whole)
+            a1 = (np.einsum("ij,ij->i", weight, m1[:, near]) + rest * t1) / whole
+            a2 = (np.einsum("ij,ij->i", weight, m2[:, near]) + rest * t2) / whole
         out[:, x] = lw[:, x] + best
-    return out
+        m1[:, x], m2[:, x] = a1 + 1, a2 + 2 * a1 + 1
+    return out, m1, m2
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
@@ -50,120 +59,168 @@ def _log_sum(x: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(x - top[:, None]).sum(1))
 
 
+def log_z(energy: np.ndarray, s: Settings) -> np.ndarray:
+    """log Z of each molecule (rows of energies); NaN with a missing energy at a possible start."""
+    energy = np.clip(np.atleast_2d(np.asarray(energy, float)), -s.emax, s.emax)
+    npos = energy.shape[1] - s.nucbp + 1
+    if npos <= 0:
+        return np.zeros(len(energy))
+    e = energy[:, :npos]
+    gap = np.isnan(e).any(1)
+    f, _, _ = _sweep(-(np.where(gap[:, None], 0, e) - s.mu) / s.temp, s)
+    return np.where(gap, np.nan, np.logaddexp(0, _log_sum(f)))
+
+
 def solve(energy: np.ndarray, s: Settings) -> dict[str, np.ndarray]:
-    """log Z, start probabilities, occupancy, mean count and its variance for each molecule (rows of energies).
+    """log Z, start probabilities, occupancy and its variance by position, mean count and its variance for each molecule
+    (rows of energies).
 
     Molecules with a missing energy at a possible start give NaN in everything."""
     energy = np.clip(np.atleast_2d(np.asarray(energy, float)), -s.emax, s.emax)
     n, nbp = energy.shape
     npos = nbp - s.nucbp + 1
     if npos <= 0:
-        return {"logz": np.zeros(n), "start": np.zeros((n, 0)), "occupancy": np.zeros((n, nbp)), "mean_n": np.zeros(n), "var_n": np.zeros(n)}
+        return {"logz": np.zeros(n), "start": np.zeros((n, 0)), "occupancy": np.zeros((n, nbp)), "mean_n": np.zeros(n), "var_n": np.zeros(n), "var_occupancy": np.zeros((n, nbp))}
     gap = np.isnan(energy[:, :npos]).any(1)
-    e = np.where(gap[:, None], 0, energy[:, :npos])
-
-    def log_z(mu: float):
-        lw = -(e - mu) / s.temp
-        f = _sweep(lw, s)
-        return lw, f, np.logaddexp(0, _log_sum(f))
-
-    lw, f, logz = log_z(s.mu)
-    back = _sweep(lw[:, ::-1], s)[:, ::-1]
+    lw = -(np.where(gap[:, None], 0, energy[:, :npos]) - s.mu) / s.temp
+    f, m1, m2 = _sweep(lw, s)
+    logz = np.logaddexp(0, _log_sum(f))
+    back = _sweep(lw[:, ::-1], s)[0][:, ::-1]
     start = np.exp(f + back - lw - logz[:, None])
     cum = np.concatenate([np.zeros((n, 1)), np.cumsum(start, 1)], 1)
     at = np.arange(nbp)
     occupancy = cum[:, np.minimum(at + 1, npos)] - cum[:, np.minimum(np.maximum(at - s.nucbp + 1, 0), npos)]
-    d = 1e-4
-    var = s.temp**2 * (log_z(s.mu + d)[2] - 2 * logz + log_z(s.mu - d)[2]) / d**2
-    out = {"logz": logz, "start": start, "occupancy": occupancy, "mean_n": start.sum(1), "var_n": var, "var_occupancy": occupancy * (1 - occupancy)}
+    last = np.exp(f - logz[:, None])  # probability that x is the last start
+    mean, second = (last * m1).sum(1), (last * m2).sum(1)
+    out = {"logz": logz, "start": start, "occupancy": occupancy, "mean_n": mean, "var_n": second - mean**2, "var_occupancy": occupancy * (1 - occupancy)}
     for v in out.values():
         v[gap] = np.nan
     return out
 
 
-def sample(energy: np.ndarray, s: Settings, seed: int) -> list[int]:
-    """One exact sample of start positions of a molecule, drawn from the left edge."""
-    rng = np.random.default_rng(seed)
+def sample(energy: np.ndarray, s: Settings, seed: int) -> list[int] | None:
+    """One exact sample of start positions of a molecule, drawn from the left edge; None with a missing energy."""
+    return samples(energy, s, [seed])[0]
+
+
+def samples(energy: np.ndarray, s: Settings, seeds: list[int]) -> list[list[int] | None]:
+    """Exact samples of one molecule, one a seed, from one solution."""
     npos = len(energy) - s.nucbp + 1
     if npos <= 0:
-        return []
-    lw = -(np.clip(np.asarray(energy[:npos], float), -s.emax, s.emax) - s.mu)[None] / s.temp
-    weight = _sweep(lw[:, ::-1], s)[0, ::-1]  # log of w(y) times everything to its right
+        return [[] for _ in seeds]
+    e = np.clip(np.asarray(energy[:npos], float), -s.emax, s.emax)
+    if np.isnan(e).any():
+        return [None for _ in seeds]
+    lw = -(e - s.mu)[None] / s.temp
+    weight = _sweep(lw[:, ::-1], s)[0][0, ::-1]  # log of w(y) times everything to its right
     lr = -s.repulsion() / s.temp
-    out: list[int] = []
-    at = -s.nucbp - s.llink
-    while True:
-        y = np.arange(max(0, at + s.nucbp), npos)
-        gap = y - at - s.nucbp
-        lp = weight[y] + np.where(gap < s.llink, lr[np.minimum(gap, s.llink - 1)] if s.llink else 0.0, 0.0)
-        lp = np.append(lp, 0.0)
-        p = np.exp(lp - lp.max())
-        k = int(rng.choice(len(p), p=p / p.sum()))
-        if k == len(y):
-            return out
-        at = int(y[k])
-        out.append(at)
+    found = []
+    for seed in seeds:
+        rng = np.random.default_rng(seed)
+        out: list[int] = []
+        at = -s.nucbp - s.llink
+        while True:
+            y = np.arange(max(0, at + s.nucbp), npos)
+            gap = y - at - s.nucbp
+            lp = weight[y] + np.where(gap < s.llink, lr[np.minimum(gap, s.llink - 1)] if s.llink else 0.0, 0.0)
+            p = np.cumsum(np.exp(np.append(lp, 0.0) - max(lp.max(initial=0.0), 0.0)))
+            k = int(np.searchsorted(p, rng.random() * p[-1], side="right"))
+            if k >= len(y):
+                break
+            at = int(y[k])
+            out.append(at)
+        found.append(out)
+    return found
 
 
 def config_energy(positions: list[int], energy: np.ndarray, s: Settings) -> float:
     rep = s.repulsion()
     gaps = [b - a - s.nucbp for a, b in zip(positions, positions[1:], strict=False)]
-    return float(sum(energy[p] for p in positions) + sum(rep[g] for g in gaps if g < s.llink) - s.mu * len(positions))
+    return float(sum(np.clip(energy[p], -s.emax, s.emax) for p in positions) + sum(rep[g] for g in gaps if g < s.llink) - s.mu * len(positions))
+
+
+BLOCK = 512  #: moves that random numbers are drawn for at a time
+_FAR = 1 << 40
 
 
 def metropolis(energy: np.ndarray, s: Settings, nsweep: int, start_temp: float, seed: int, cooling: str = "linear", freq: int = 1) -> list[tuple[int, float, float, list[int]]]:
-    """Frames (time, energy, temperature, positions): the empty fiber, then every `freq` sweeps of 3 moves a position."""
-    rng = np.random.default_rng(seed)
-    rep, npos = s.repulsion(), len(energy) - s.nucbp + 1
-    pos: list[int] = []
-    frames = [(0, 0.0, start_temp, [])]
-
-    def local(k: int, p: int, without: bool) -> float | None:
-        """Energy of a start p between neighbours k - 1 and k (k + 1 if k is p's own place); None on overlap."""
-        total = 0.0
-        for q in ([pos[k - 1]] if k > 0 else []) + ([pos[k + without]] if k + without < len(pos) else []):
-            g = abs(q - p) - s.nucbp
-            if g < 0:
-                return None
-            total += rep[g] if g < s.llink else 0.0
-        return total
-
-    for t in range(1, nsweep + 1):
+    """Frames (time, energy, temperature, positions) of one run."""
+    return [f[1:] for f in metropolis_runs(np.asarray(energy, float)[None], s, nsweep, start_temp, [seed], cooling, freq)]
+
+
+def metropolis_runs(energy: np.ndarray, s: Settings, nsweep: int, start_temp: float, seeds: list[int], cooling: str = "linear", freq: int = 1) -> list[tuple[int, int, float, float, list[int]]]:
+    """Frames (run, time, energy, temperature, positions) of several runs, a row of energies and a seed each: the empty fiber,
+    then every `freq` sweeps of 3 moves a position. All runs move in step; each draws from its own seed, so a run's frames
+    don't depend on the others. Runs with a missing energy at a possible start have no frames."""
+    if cooling not in ("linear", "geometric", "constant"):
+        raise ValueError("cooling is linear, geometric or constant")
+    energy = np.clip(np.atleast_2d(np.asarray(energy, float)), -s.emax, s.emax)
+    npos = max(energy.shape[1] - s.nucbp + 1, 0)
+    keep = np.flatnonzero(~np.isnan(energy[:, :npos]).any(1))
+    e, rngs, n = energy[keep, :npos], [np.random.default_rng(seeds[i]) for i in keep], len(keep)
+    reps = np.append(s.repulsion(), 0.0)
+    wide = npos // s.nucbp + 3
+    pos = np.full((n, wide + 1), _FAR)  # -far, starts in order, far ...
+    pos[:, 0] = -_FAR
+    count = np.zeros(n, "i8")
+    columns = np.arange(wide + 1)
+    frames = [(int(i), 0, 0.0, float(start_temp), []) for i in keep]
+
+    def rep(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        gap = right - left - s.nucbp
+        return np.where(gap < 0, np.inf, reps[np.clip(gap, 0, s.llink)])
+
+    def move(u: np.ndarray, temp: float) -> None:
+        mode = (3 * u[:, 0]).astype("i1")
+        has = count > 0
+        r = np.flatnonzero((mode == 0) & has)
+        if len(r):
+            k = (u[r, 1] * count[r]).astype("i8") + 1
+            old, left, right = pos[r, k], pos[r, k - 1], pos[r, k + 1]
+            new = old + np.where(u[r, 2] < 0.5, 1, -1)
+            inside = (new >= 0) & (new < npos)
+            there = np.where(inside, new, old)
+            rise = e[r, there] - e[r, old] + rep(left, there) + rep(there, right) - rep(left, old) - rep(old, right)
+            ok = inside & (u[r, 3] < np.exp(np.minimum(0, -rise / temp)))
+            pos[r[ok], k[ok]] = new[ok]
+        r = np.flatnonzero(mode == 1)
+        if len(r):
+            p = (u[r, 1] * npos).astype("i8")
+            k = (pos[r, 1:] < p[:, None]).sum(1) + 1
+            left, right = pos[r, k - 1], pos[r, k]
+            rise = e[r, p] + rep(left, p) + rep(p, right) - rep(left, right)
+            ok = u[r, 3] < npos / (count[r] + 1) * np.exp(np.minimum(50, (s.mu - rise) / temp))
+            r, k, p = r[ok], k[ok, None], p[ok]
+            if len(r):
+                held = pos[r]
+                pos[r] = np.where(columns < k, held, np.where(columns == k, p[:, None], np.roll(held, 1, 1)))
+                count[r] += 1
+        r = np.flatnonzero((mode == 2) & has)
+        if len(r):
+            k = (u[r, 1] * count[r]).astype("i8") + 1
+            p, left, right = pos[r, k], pos[r, k - 1], pos[r, k + 1]
+            freed = e[r, p] + rep(left, p) + rep(p, right) - rep(left, right)
+            ok = u[r, 3] < count[r] / npos * np.exp(np.minimum(50, (freed - s.mu) / temp))
+            r, k = r[ok], k[ok, None]
+            if len(r):
+                held = pos[r]
+                pos[r] = np.where(columns < k, held, np.append(held[:, 1:], np.full((len(r), 1), _FAR), 1))
+                count[r] -= 1
+
+    for t in range(1, nsweep + 1 if n else 0):
         progress = (t - 1) / (nsweep - 1) if nsweep > 1 else 1.0
         temp = {"linear": start_temp + (s.temp - start_temp) * progress, "geometric": start_temp * (s.temp / start_temp) ** progress, "constant": start_temp}[cooling]
-        for _ in range(3 * max(npos, 0)):
-            mode, u = int(rng.integers(3)), rng.random()
-            if mode == 0 and pos:
-                k = int(rng.integers(len(pos)))
-                p = pos[k] + (1 if rng.random() < 0.5 else -1)
-                if 0 <= p < npos and (new := local(k, p, True)) is not None and u < np.exp(min(0, -(energy[p] - energy[pos[k]] + new - local(k, pos[k], True)) / temp)):
-                    pos[k] = p
-            elif mode == 1:
-                p = int(rng.integers(npos))
-                k = int(np.searchsorted(pos, p))
-                if (new := local(k, p, False)) is not None and _repair(pos, k, rep, s) is not None:
-                    new -= _repair(pos, k, rep, s)
-                    if u < npos / (len(pos) + 1) * np.exp(min(50, (s.mu - energy[p] - new) / temp)):
-                        pos.insert(k, p)
-            elif mode == 2 and pos:
-                k = int(rng.integers(len(pos)))
-                p = pos.pop(k)
-                freed = local(k, p, False) - _repair(pos, k, rep, s)
-                if u >= len(pos + [p]) / npos * np.exp(min(50, (-s.mu + energy[p] + freed) / temp)):
-                    pos.insert(k, p)
+        for lo in range(0, 3 * npos, BLOCK):
+            draws = np.stack([g.random((min(BLOCK, 3 * npos - lo), 4)) for g in rngs], 1)
+            for u in draws:
+                move(u, temp)
         if t % freq == 0:
-            frames.append((t, config_energy(pos, energy, s), temp, list(pos)))
+            for i, p, c in zip(keep.tolist(), pos, count.tolist(), strict=True):
+                starts = p[1 : c + 1].tolist()
+                frames.append((i, t, config_energy(starts, energy[i], s), float(temp), starts))
     return frames
 
 
-def _repair(pos: list[int], k: int, rep: np.ndarray, s: Settings) -> float:
-    """Repulsion between the neighbours of place k with nothing between them."""
-    if 0 < k < len(pos):
-        g = pos[k] - pos[k - 1] - s.nucbp
-        return rep[g] if g < s.llink else 0.0
-    return 0.0
-
-
 def run_seed(master: int, chrom: int, mol: int, run: int) -> int:
     """The seed of a run, whatever the order or number of workers."""
     return int(np.random.SeedSequence(entropy=master, spawn_key=(chrom, mol, run)).generate_state(1)[0])
