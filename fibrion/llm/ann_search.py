@@ -41,6 +41,7 @@ CELL, MOST_CELLS, PER_CELL, SAMPLE_NUMBERS, ROUNDS = 1_024, 4_096, 32, 1 << 24,
 #: all are searched, and rows that a query's cells hold at least.
 RECALL, MEASURED, FEW_CELLS, PROBED = 0.98, 256, 8, 1_024
 ROW_BLOCK, QUERY_BLOCK = 8_192, 4_096  #: rows of a bundle, or of a large cell's block, and queries that a task holds
+TOGETHER = 0.6  #: share of a bundle's queries and cells that meet from which all of them do, at once
 LONGEST_BAND = 40  #: lengths from 2**-40 to 2**40 have bands of their own
 
 
@@ -114,6 +115,15 @@ def exact(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndar
     return np.where(np.isnan(out), -np.inf, out)
 
 
+def _kth(part: np.ndarray, est: np.ndarray, own: np.ndarray, columns: np.ndarray, k: int) -> np.ndarray:
+    """Each query's k-th best score among the 4 k rows of the best estimates (-inf with fewer than k)."""
+    first = min(4 * k, est.shape[1])
+    near = np.argpartition(-est, first - 1, axis=1)[:, :first]
+    score = exact(part, np.repeat(np.arange(len(near)), first), columns, near.ravel()).reshape(near.shape)
+    score[np.take_along_axis(own, near, 1)] = -np.inf
+    return np.sort(score, axis=1)[:, -k] if first >= k else np.full(len(score), -np.inf)
+
+
 def search(qid: np.ndarray, q: np.ndarray, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, coded, rot: np.ndarray, k: int, bound: float = BOUND, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each query's k nearest among the rows but its own, without those below the query's floor: (index of query, index of
     row, score)."""
@@ -124,14 +134,13 @@ def search(qid: np.ndarray, q: np.ndarray, rows: np.ndarray, ids: np.ndarray, x:
         est, err = estimates(part, rot, *coded, bound)
         own = qid[lo : lo + STEP, None] == rows[None, :]
         est = np.where(own, -np.inf, np.nan_to_num(est))
-        first = min(4 * k, len(rows))
-        near = np.argpartition(-est, first - 1, axis=1)[:, :first]
-        part = np.ascontiguousarray(part.T)
-        score = exact(part, np.repeat(np.arange(len(near)), first), columns, near.ravel()).reshape(near.shape)
-        score[np.take_along_axis(own, near, 1)] = -np.inf
-        kth = np.sort(score, axis=1)[:, -k] if first >= k else np.full(len(score), -np.inf)
-        if floor is not None:
-            kth = np.maximum(kth, floor[lo : lo + STEP])
+        least = None if floor is None else floor[lo : lo + STEP]
+        if least is not None and np.isfinite(least).all():  # all have k scores already
+            part, kth = np.ascontiguousarray(part.T), least
+        else:
+            part = np.ascontiguousarray(part.T)
+            kth = _kth(part, est, own, columns, k)
+            kth = kth if least is None else np.maximum(kth, least)
         with np.errstate(over="ignore"):
             i, j = np.nonzero(~(est + np.nan_to_num(err) < kth[:, None]) & ~own)
         s = exact(part, i, columns, j)
@@ -397,6 +406,8 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, bound: float = B
         wanted = lists.flatten().to_numpy()
         best = np.full((len(q), k), -np.inf)
         found = []
+        if len(wanted) >= TOGETHER * len(q) * len(np.unique(cell)):  # nearly all meet anyway
+            cell, of, wanted = np.zeros(len(cell), "i4"), np.arange(len(q)), np.zeros(len(q), "i4")
         for c in np.unique(cell):
             rows, at = np.flatnonzero(cell == c), of[wanted == c]
             if len(at):

@@ -223,21 +223,19 @@ def near_rows(rows: DataFrame) -> DataFrame:
             pairs = common.salted_left_join(pairs, own, [side], other, 4)
         return pairs.select("a", "b", *(f"{x}_{side}" for x in names for side in ("a", "b")))
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that reach the similarity."""
+    def edges(labelled: DataFrame, star: bool, more: DataFrame | None = None) -> DataFrame:
+        """The pairs that share a shingle, and `more` pairs, that reach the similarity."""
+        dealt = labelled.select("shingle", "label", "row", "place", "size").repartition(n, "shingle").sortWithinPartitions("shingle", "label", "row")
+        pairs = dealt.mapInArrow(_candidates(star), "a long, b long")
+        pairs = common.cut((pairs if more is None else pairs.unionByName(more)).distinct())
         pairs = common.cut(beside(pairs, maps, ["size", "map"]).mapInArrow(_close, "a long, b long"))
         return common.cut(beside(pairs, rows.select("row", "text"), ["text"]).mapInArrow(_verify, "a long, b long"))
 
-    def edges(labelled: DataFrame, star: bool) -> DataFrame:
-        dealt = labelled.select("shingle", "label", "row", "place", "size").repartition(n, "shingle").sortWithinPartitions("shingle", "label", "row")
-        return alike(common.cut(dealt.mapInArrow(_candidates(star), "a long, b long").distinct()))
-
     prints = common.cut(fingerprints(rows.select("row", F.col("row").alias("doc_id"), "text"), SHINGLE))
-    nodes, edges_of_prints = near_links(prints)  # ids are rows here
-    copies = common.salted_left_join(prints, nodes.where("docs > 1").select("fp", "node"), ["fp"], "row").where("node < row")
-    links = alike(common.cut(copies.select(F.col("node").alias("a"), F.col("row").alias("b")).unionByName(edges_of_prints)))
-    stars = edges(shared.withColumn("label", F.col("size").cast("long")), True)
-    found = common.cut(components(links.unionByName(stars)).withColumnRenamed("node", "row"))
+    nodes, near = near_links(prints)  # ids are rows here
+    copies = prints.join(nodes.where("docs > 1").select("fp", "node"), "fp").where("node < row").select(F.col("node").alias("a"), F.col("row").alias("b"))
+    linked = common.cut(copies.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
+    found = common.cut(components(edges(shared.withColumn("label", F.col("size").cast("long")), True, linked)).withColumnRenamed("node", "row"))
     labelled = shared.join(found.withColumnRenamed("component", "label"), "row", "left").withColumn("label", F.coalesce("label", "row"))
     rest = edges(labelled, False)
     joined = found.select(F.col("row").alias("a"), F.col("component").alias("b")).unionByName(rest)
