@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import is_local, ship
 
-__all__ = ["ship", "table", "shared_dir", "fresh_dir", "cut", "stored", "stored_at", "drop", "numbered", "partitions", "lower_az", "n_words", "salted_left_join"]
+__all__ = ["ship", "table", "shared_dir", "fresh_dir", "tidy", "cut", "stored", "stored_at", "drop", "numbered", "partitions", "lower_az", "n_words", "salted_left_join"]
 
 #: A word as the operators count it: anything between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,9 +48,18 @@ def fresh_dir(spark: SparkSession, what: str) -> str:
     return f"{top}/data"
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets the driver drop frames that are no longer used, and Spark their shuffle files, broadcasts and checkpoints, which
+    otherwise stay until the driver happens to collect its garbage. For operators of many rounds on a cluster."""
+    if not is_local(spark):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint: computed once, and read again after an executor is lost."""
     shared_dir(df.sparkSession)
+    tidy(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
