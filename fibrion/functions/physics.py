@@ -7,7 +7,7 @@ W = footprint + linker range on): f(x) = w(x) (1 + sum of f over starts W or mor
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 
@@ -15,12 +15,20 @@ import numpy as np
 @dataclass(frozen=True)
 class Settings:
     nucbp: int = 147
-    llink: int = 40
+    llink: int | tuple[tuple[str, int], ...] = 40  # a range for all, or (chromosome, range) pairs; a dict is taken too
     elink: float = 1.0
     mu: float = 0.0
     temp: float = 1.0
     emax: float = np.inf
 
+    def __post_init__(self) -> None:
+        if isinstance(self.llink, dict):
+            object.__setattr__(self, "llink", tuple(sorted((str(k), int(v)) for k, v in self.llink.items())))
+
+    def of(self, chrom: str) -> Settings:
+        """The settings of a chromosome; KeyError if its linker range is lacking."""
+        return self if isinstance(self.llink, int) else replace(self, llink=dict(self.llink)[chrom])
+
     def repulsion(self) -> np.ndarray:
         """Energy of linkers of 0, 1, ... llink - 1 bp."""
         return self.elink * ((self.llink / np.arange(1, self.llink + 1)) ** 6 - 1) ** 2 if self.llink else np.empty(0)

@@ -278,14 +278,16 @@ def leak_fit(bins: DataFrame, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
 
 
 def nu_fit(counts: DataFrame) -> DataFrame:
-    """(source, channel, k, n) a site -> source, channel, nu. Sites with equal (k, n) are counted first."""
+    """(chrom, source, channel, k, n) a site -> chrom, source, channel, nu. Sites with equal (k, n) are counted first."""
     ship(counts.sparkSession)
-    folded = counts.groupBy("source", "channel", F.round("k", 6).alias("k"), "n").agg(F.count("*").alias("sites"))
+    keys = ["chrom", "source", "channel"]
+    folded = counts.groupBy(*keys, F.round("k", 6).alias("k"), "n").agg(F.count("*").alias("sites"))
 
     def fit(b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"source": [b["source"].iloc[0]], "channel": [b["channel"].iloc[0]], "nu": [statistics.fit_nu(*(b[c].to_numpy(float) for c in ("k", "n")), weight=b["sites"].to_numpy(float))]})
+        nu = statistics.fit_nu(*(b[c].to_numpy(float) for c in ("k", "n")), weight=b["sites"].to_numpy(float))
+        return pd.DataFrame({c: [b[c].iloc[0]] for c in keys} | {"nu": [nu]})
 
-    return folded.groupBy("source", "channel").applyInPandas(fit, "source string, channel long, nu double")
+    return folded.groupBy(*keys).applyInPandas(fit, "chrom string, source string, channel long, nu double")
 
 
 MOST_LINKED = 20_000  #: rows of a group that are clustered at most: their distances take 8 bytes a pair in one task

@@ -21,9 +21,9 @@ def meth_prob(prob: DataFrame, **grid: int) -> DataFrame:
 
 
 def meth_energy(prob: DataFrame, emax: float = 10.0, **grid: int) -> DataFrame:
-    """Log odds of methylation, held within emax on both sides."""
+    """Log odds of methylation, held within emax on both sides; places without a probability don't count."""
     odds = F.expr("ln(greatest(p, 1e-12) / greatest(1 - p, 1e-12))")
-    return tiles(prob, F.least(F.greatest(odds, F.lit(-emax)), F.lit(emax)), **grid)
+    return tiles(prob, F.when(F.col("p").isNotNull(), F.least(F.greatest(odds, F.lit(-emax)), F.lit(emax))), **grid)
 
 
 def energy_track(frames: DataFrame, start: int = 0, end: int | None = None) -> DataFrame:
@@ -48,3 +48,18 @@ def occupancy(analysis: DataFrame, **grid: int) -> DataFrame:
 def mean_by_position(rows: DataFrame, value: str) -> DataFrame:
     """chrom, pos, value, n: the track over a heat map."""
     return rows.groupBy("chrom", "pos").agg(F.avg(value).alias("value"), F.count(value).alias("n"))
+
+
+def downsample(rows: DataFrame, value: str, max_rows: int, how: str = "mean") -> DataFrame:
+    """(chrom, mol_index, pos) with a value -> chrom, row, pos, value: at most `max_rows` rows a chromosome. mean, sum, min and
+    max are over rows between the edges trunc(i n / max_rows), nulls left out; stride keeps every ceil(n / max_rows)-th row."""
+    if how not in ("mean", "sum", "min", "max", "stride") or max_rows < 1:
+        raise ValueError("how is mean, sum, min, max or stride, and max_rows at least 1")
+    sizes = rows.groupBy("chrom").agg((F.max("mol_index") + 1).alias("n"))  # a row a chromosome
+    placed = rows.join(sizes, "chrom")
+    if how == "stride":
+        step = F.ceil(F.col("n") / max_rows)
+        return placed.where(F.col("mol_index") % step == 0).select("chrom", F.floor(F.col("mol_index") / step).alias("row"), "pos", F.col(value).alias("value"))
+    place = F.when(F.col("n") <= max_rows, F.col("mol_index")).otherwise(F.ceil((F.col("mol_index") + 1) * max_rows / F.col("n")) - 1)
+    total = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max}[how](value)
+    return placed.groupBy("chrom", place.cast("long").alias("row"), "pos").agg(F.coalesce(total, F.lit(0.0)).alias("value") if how == "sum" else total.alias("value"))

@@ -51,7 +51,7 @@ FROM {name}_vals v JOIN {name}_hist h ON {same} AND v.b = h.b WHERE {wanted}""",
     }
 
 
-def build(NBP: int = 400, LNUC: int = 20, LBIN: int = 10, low: float = 0.3, high: float = 0.99, leak: float = 0.1) -> dict[str, str]:  # noqa: N803
+def build(NBP: int = 400, LNUC: int = 20, LBIN: int = 10, low: float = 0.3, high: float = 0.99, leak: float = 0.1, clip: tuple[float, float] = (0.001, 0.999)) -> dict[str, str]:  # noqa: N803
     """The relations for a footprint and a bin width, kept dropout shares and a leak rate; NBP: length of the fixture's
     chromosomes (any table `sizes` may stand for them, chromosomes may differ in length)."""
     R: dict[str, str] = {}
@@ -173,7 +173,7 @@ FROM smoothed_all WHERE source <> 'test'{_stranded} GROUP BY {_k}, pos"""
 SELECT x.source, x.chrom, x.mol_index, x.mol, x.nbp, x.pos, round((s - unmeth) / CASE WHEN abs(meth - unmeth) < 1e-9 THEN 1e-9 ELSE meth - unmeth END, 6) AS n
 FROM smoothed_all x LEFT JOIN control_means{_s} c ON {_on} AND x.pos = c.pos{" WHERE x.strand <> '.'" if _s else ""}"""
         R[f"bound_values{_s}"] = f"SELECT chrom, source, n FROM normalised{_s} WHERE source <> 'test' AND n IS NOT NULL"
-        R |= _selected(f"bound_ranks{_s}", f"bound_values{_s}", ["chrom", "source"], "n", {"p_lo": 0.001, "p_hi": 0.999})
+        R |= _selected(f"bound_ranks{_s}", f"bound_values{_s}", ["chrom", "source"], "n", {"p_lo": clip[0], "p_hi": clip[1]})
         R[f"clip_bounds{_s}"] = f"SELECT chrom, max(CASE WHEN source = 'unmeth' THEN p_lo END) AS lo, max(CASE WHEN source = 'meth' THEN p_hi END) AS hi FROM bound_ranks{_s} GROUP BY chrom"
         R[f"empirical_prob{_s}"] = f"""
 SELECT x.chrom, x.mol_index, x.pos, round(CASE WHEN x.pos > x.nbp - {LNUC} OR x.known = 0 THEN NULL WHEN x.n IS NULL THEN 0.5
@@ -181,9 +181,10 @@ SELECT x.chrom, x.mol_index, x.pos, round(CASE WHEN x.pos > x.nbp - {LNUC} OR x.
 FROM (SELECT *, count(n) OVER (PARTITION BY chrom, mol_index) AS known FROM normalised{_s} WHERE source = 'test') x JOIN clip_bounds{_s} b ON x.chrom = b.chrom"""
 
     # ---- read sites, controls, model ---------------------------------------------------------------------------------------------
+    R["readers"] = "SELECT source, chrom, mol, strand FROM molecules"  # molecules that are kept
     R["read_sites"] = """
 SELECT m.source, m.chrom, m.mol, m.strand, s.pos, s.channel, c.q IS NOT NULL AS called, coalesce(c.q, 0.0) AS q
-FROM molecules m JOIN assay_masks s ON m.chrom = s.chrom
+FROM readers m JOIN assay_masks s ON m.chrom = s.chrom
 LEFT JOIN calls c ON m.source = c.source AND m.chrom = c.chrom AND m.mol = c.mol AND s.pos = c.pos
 WHERE s.channel <> 0 AND (c.q IS NOT NULL OR CASE m.strand WHEN '+' THEN assay_plus WHEN '-' THEN assay_minus ELSE false END)"""
     R["read_sites_summary"] = "SELECT source, chrom, mol, channel, count(*) AS n_read, CAST(sum(CASE WHEN called THEN 1 ELSE 0 END) AS BIGINT) AS n_called, round(sum(q), 6) AS k FROM read_sites GROUP BY source, chrom, mol, channel"
@@ -194,11 +195,11 @@ ON r.source = b.source AND r.chrom = b.chrom AND r.mol = b.mol WHERE r.pos BETWE
     R["q_thres"] = "SELECT source, chrom, pos, count(*) AS n, CAST(sum(CASE WHEN q >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS k FROM read_sites GROUP BY source, chrom, pos"
     R["control_counts"] = "SELECT source, chrom, pos, channel, round(sum(q), 6) AS k, CAST(count(*) AS DOUBLE) AS n FROM read_sites GROUP BY source, chrom, pos, channel"
     R["call_fractions"] = "SELECT source, channel, round(avg(CASE WHEN called THEN 1.0 ELSE 0.0 END), 6) AS frac FROM read_sites GROUP BY source, channel"
-    R["nus"] = "SELECT source, channel, CAST(10 AS DOUBLE) AS nu FROM control_counts GROUP BY source, channel"
+    R["nus"] = "SELECT chrom, source, channel, CAST(10 AS DOUBLE) AS nu FROM control_counts GROUP BY chrom, source, channel"
     R["rates"] = f"""
 SELECT source, chrom, pos, channel, greatest({EPS}, least(1 - {EPS}, (k + nu * all_k / all_n) / (n + nu))) AS rate FROM (
   SELECT c.source, c.chrom, c.pos, c.channel, c.k, c.n, u.nu, sum(c.k) OVER (PARTITION BY c.source, c.chrom, c.channel) AS all_k, sum(c.n) OVER (PARTITION BY c.source, c.chrom, c.channel) AS all_n
-  FROM control_counts c JOIN nus u ON c.source = u.source AND c.channel = u.channel) x"""
+  FROM control_counts c JOIN nus u ON c.chrom = u.chrom AND c.source = u.source AND c.channel = u.channel) x"""
     R["shrunk_rates"] = "SELECT source, chrom, pos, channel, round(rate, 8) AS rate FROM rates"
     R["profiles"] = """
 SELECT f.chrom, f.pos, f.channel, f.rate AS f, a.rate AS a, a.rate - f.rate > 1e-9 AS informative
@@ -224,9 +225,10 @@ FROM read_sites r JOIN thetas t ON r.chrom = t.chrom AND r.pos = t.pos"""
     R["autocorr_stats"] = f"""
 SELECT channel, lag_, count(*) AS npair, round(sum(x * y), 6) AS sxy, round(sum(x), 6) AS sx, round(sum(y), 6) AS sy FROM (
   SELECT channel, {_case['p']} - pos AS lag_, lam AS x, {_case['l']} AS y FROM lam_ahead CROSS JOIN (SELECT EXPLODE_SEQ(1, {LAGS}) AS j) k) z WHERE lag_ <= {LAGS} GROUP BY channel, lag_"""
+    R["lam_totals"] = "SELECT channel, count(*) AS n, sum(lam) AS s1, sum(lam * lam) AS s2 FROM lam_ranked GROUP BY channel"
     R["eta_rho"] = """
 SELECT s.channel, s.n, a.lag_, (a.sxy - m * a.sx - m * a.sy + a.npair * m * m) / (s2 - s.n * m * m) AS rho
-FROM (SELECT channel, count(*) AS n, sum(lam) / count(*) AS m, sum(lam * lam) AS s2 FROM lam_ranked GROUP BY channel) s JOIN autocorr_stats a ON s.channel = a.channel WHERE s.n > 10 AND s2 - s.n * m * m > 0"""
+FROM (SELECT channel, n, s1 / n AS m, s2 FROM lam_totals) s JOIN autocorr_stats a ON s.channel = a.channel WHERE s.n > 10 AND s2 - s.n * m * m > 0"""
     R["etas"] = "SELECT c.channel, coalesce(e.eta, 1.0) AS eta FROM (SELECT DISTINCT channel FROM site_channels WHERE channel <> 0) c LEFT JOIN (SELECT channel, 1 / greatest(1 + 2 * sum(rho), 1e-3) AS eta FROM eta_rho GROUP BY channel) e ON c.channel = e.channel"
     R["eta_closed_form"] = "SELECT channel, round(eta, 4) AS eta FROM etas"
     for _n, _w, _from in (("windows", "lam", "log_odds"), ("windows_eta", "eta * lam", "(SELECT o.*, e.eta FROM log_odds o JOIN etas e ON o.channel = e.channel)")):
@@ -303,13 +305,13 @@ R = build()
 STEPS = set("""rates profiles thetas grid bases neighbours raw_calls label_sites label_totals dense_all dense_long cells row_edges row_names lam_ranked lam_ahead truth called
 truth_steps called_steps truth_levels windows windows_eta log_odds log_odds_all energies smoothed smoothed_all read_sites called_occ truth_occ pooled_fractions fraction_counts normalised
 normalised_strand molecule_names sizes nus eta_source eta_rho etas axis both_steps both_segments mcc_counts dyads nearest_by_place expected_runs stored_runs gather_order bound_values
-bound_values_strand bound_ranks bound_ranks_strand energy_sizes energy_chroms temperature_rank median_ranks""".split())
+bound_values_strand bound_ranks bound_ranks_strand energy_sizes energy_chroms temperature_rank median_ranks readers lam_totals""".split())
 STEPS |= {k for k in R if k.endswith(("_vals", "_hist", "_near"))}
 
 
 def _needs(name: str, seen: dict[str, None], known: dict[str, str]) -> None:
     for other in re.findall(r"\b\w+\b", known[name]):
-        if other in known and other != name and other not in seen and re.search(rf"(?:FROM|JOIN|,)\s+{other}\b", known[name]):
+        if other in known and other != name and other not in seen and re.search(rf"(?:FROM|JOIN)\s+{other}\b", known[name]):
             _needs(other, seen, known)
     seen[name] = None
 

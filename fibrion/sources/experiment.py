@@ -36,15 +36,22 @@ class Experiment:
         return files.exists(self.spark, f"{self.path}/{name}/_SUCCESS")
 
     def put(self, name: str, rows: DataFrame, overwrite: bool = False) -> DataFrame:
-        """Stores a derived table: written beside, then renamed, so a failure leaves the old one."""
+        """Stores a derived table: written beside, then put in the old one's place by renaming; a failure leaves the old one."""
         if self.has(name) and not overwrite:
             raise FileExistsError(f"{name} exists")
-        new, place = f"{self.path}/_new-{name}", f"{self.path}/{name}"
+        new = f"{self.path}/_new-{name}"
         rows.write.mode("overwrite").parquet(new)
-        files.remove(self.spark, place)
-        files.rename(self.spark, new, place)
+        files.replace(self.spark, new, f"{self.path}/{name}")
         return self.table(name)
 
+    def note(self, name: str, params: dict) -> None:
+        """Keeps what a derived table was made with (see `params`)."""
+        self.meta.setdefault("params", {})[name] = params
+        _write_meta(self.spark, self.path, self.meta)
+
+    def params(self, name: str) -> dict | None:
+        return self.meta.get("params", {}).get(name)
+
     def save(self, path: str, overwrite: bool = False) -> Experiment:
         """A copy of the opened chromosomes at `path` (never onto itself)."""
         path = path.rstrip("/")
@@ -52,74 +59,79 @@ class Experiment:
             raise ValueError("an experiment can't be saved onto itself")
         if files.exists(self.spark, path) and not overwrite:
             raise FileExistsError(path)
-        fs, p = files._fs(self.spark, self.path)
-        names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and not s.getPath().getName().startswith("_")]
+        names = files.folders(self.spark, self.path)
         new = f"{path}-new"
         files.remove(self.spark, new)
         for name in names:
             rows = self.table(name)
             (rows.write.partitionBy("source", "chrom") if name == "calls" else rows.write).parquet(f"{new}/{name}")
         _write_meta(self.spark, new, self.meta)
-        files.remove(self.spark, path)
-        files.rename(self.spark, new, path)
+        files.replace(self.spark, new, path)
         return Experiment(self.spark, path)
 
     def sources(self) -> list[str]:
         return [s for s in SOURCES if s in self.meta["sources"]]
 
-    def relation(self, name: str, lnuc: int = 147, lbin: int = 30, low: float = 0.0, high: float = 1.0, leak: float = 0.1, tables: dict[str, DataFrame] | None = None, **replaced: str) -> DataFrame:
-        """A relation of `plans.relations` over this experiment: one plan a chromosome (their lengths differ), put together.
-
-        `replaced` gives relations another text, which may read `tables`; columns chrom are kept."""
-        kept = self.table("keep_mask") if self.has("keep_mask") and name not in _ALL_MOLECULES else None
-        out = []
-        for row in self.table("sizes").orderBy("chrom").collect():
-            if row["nbp"] < lnuc:
-                continue  # no full window fits
-            known = relations.build(int(row["nbp"]), lnuc, lbin, low, high, leak) | self._base(row["chrom"]) | replaced
-            mine = F.col("chrom") == row["chrom"]
-            molecules, calls = self.table("molecules").where(mine), self.table("calls").where(mine)
-            if kept is not None:
-                gone = kept.where(mine & ~F.col("keep")).select("source", "chrom", "mol")
-                calls = calls.join(gone, ["source", "chrom", "mol"], "left_anti")  # a dropped molecule reads nothing
-                if name in _MODEL:
-                    molecules = molecules.join(gone, ["source", "chrom", "mol"], "left_anti")
-            own = {"exp_calls": calls, "exp_molecules": molecules, "exp_bases": self._bases(row["chrom"])}
-            out.append(relations.over(self.spark, name, known, own | {k: v.where(mine) for k, v in (tables or {}).items()}))
-        if not out:
-            raise ValueError(f"no chromosome has room for a footprint of {lnuc}")
-        return reduce(DataFrame.unionByName, out)
+    def controls(self) -> bool:
+        return {"meth", "unmeth"} <= set(self.meta["sources"])
 
-    def _bases(self, chrom: str) -> DataFrame:
-        return files.site_masks(self.table("sequences").where(F.col("chrom") == chrom)).select("chrom", "pos", "base")
+    def relation(self, name: str, lnuc: int = 147, lbin: int = 30, low: float = 0.0, high: float = 1.0, leak: float = 0.1, clip: tuple[float, float] = (0.001, 0.999), mask: str | None = "keep_mask", strand: str | None = None, tables: dict[str, DataFrame] | None = None, **replaced: str) -> DataFrame:
+        """A relation of `plans.relations` over this experiment: one plan for all chromosomes that have room for a footprint.
 
-    def _base(self, chrom: str) -> dict[str, str]:
+        `replaced` gives relations another text, which may read `tables`. Molecules that table `mask` drops read nothing.
+        strand: only molecules of it. Calls that repeat a molecule's place raise ValueError for relations that read them."""
+        if name not in _ALL_MOLECULES and (twice := self.meta.get("duplicate")):
+            raise ValueError(f"calls repeat a place of a molecule, such as {twice}")
+        sizes = self.table("sizes").where(F.col("nbp") >= lnuc)
+        if sizes.isEmpty():
+            raise ValueError(f"no chromosome has room for a footprint of {lnuc}")
+        known = relations.build(LNUC=lnuc, LBIN=lbin, low=low, high=high, leak=leak, clip=clip) | self._base() | replaced
+        molecules, calls = self.table("molecules"), self.table("calls")
+        if strand is not None:
+            molecules, calls = molecules.where(F.col("strand") == strand), calls.join(molecules.where(F.col("strand") == strand).select("source", "chrom", "mol"), ["source", "chrom", "mol"], "left_semi")
+        readers = molecules
+        if mask is not None and name not in _ALL_MOLECULES and self.has(mask):
+            gone = self.table(mask).where(~F.col("keep")).select("source", "chrom", "mol")
+            calls, readers = (x.join(gone, ["source", "chrom", "mol"], "left_anti") for x in (calls, readers))
+        own = {"exp_calls": calls, "exp_molecules": molecules, "exp_readers": readers, "exp_sizes": sizes, "exp_bases": files.site_masks(self.table("sequences"))}
+        return relations.over(self.spark, name, known, own | (tables or {}))
+
+    def _base(self) -> dict[str, str]:
         labels = self.meta["mtase"] or list(files.LABELS)
         on = sorted({c for v in labels for c in CHANNELS[v]})
         whole = relations.R
+        either = self.meta["ignore_strand"]
+        side = lambda s, v: f"({v in labels} AND {f'(plus_{v.lower()} OR minus_{v.lower()})' if either else f'{s}_{v.lower()}'}) AS {s}_{v.lower()}"
+        names = [f"{s}_{v.lower()}" for v in files.LABELS for s in ("plus", "minus")]
         out = {
+            "sizes": "SELECT chrom, nbp FROM exp_sizes",
             "calls": "SELECT source, chrom, mol, pos, strand, q FROM exp_calls",
             "molecules": "SELECT source, chrom, mol, mol_index, strand FROM exp_molecules",
+            "readers": "SELECT source, chrom, mol, strand FROM exp_readers",
             "bases": "SELECT chrom, pos, base FROM exp_bases",
+            "full_masks": "SELECT chrom, pos, " + ", ".join(side(s, v) for v in files.LABELS for s in ("plus", "minus")) + f" FROM ({whole['site_masks']}) x",
+            "full_channels": f"SELECT chrom, pos, CASE WHEN channel IN ({', '.join(map(str, on))}) THEN channel ELSE CAST(0 AS BIGINT) END AS channel FROM ({whole['site_channels']}) x",
+            "site_masks": "SELECT * FROM full_masks",
+            "site_channels": "SELECT * FROM full_channels",
         }
-        if len(labels) < 3:
-            out["site_masks"] = "SELECT chrom, pos, " + ", ".join(f"{s}_{v.lower()} AND {str(v in labels).lower()} AS {s}_{v.lower()}" for v in files.LABELS for s in ("plus", "minus")) + f" FROM ({whole['site_masks']}) x"
-            out["site_channels"] = f"SELECT chrom, pos, CASE WHEN channel IN ({', '.join(map(str, on))}) THEN channel ELSE CAST(0 AS BIGINT) END AS channel FROM ({whole['site_channels']}) x"
-        if not {"meth", "unmeth"} <= set(self.meta["sources"]):
-            out["normalised"] = "SELECT chrom, mol_index, pos, round(s, 6) AS n FROM smoothed"
+        if self.meta["wrap"]:  # a position stands for itself and its mirror; label sites are those of the whole sequence
+            mirror = "FROM {0} a JOIN exp_sizes z ON a.chrom = z.chrom JOIN {0} b ON a.chrom = b.chrom AND b.pos = z.length - 1 - a.pos WHERE a.pos < z.nbp"
+            out["site_masks"] = "SELECT a.chrom, a.pos, " + ", ".join(f"a.{n} OR b.{n} AS {n}" for n in names) + " " + mirror.format("full_masks")
+            out["site_channels"] = "SELECT a.chrom, a.pos, CASE WHEN a.channel = b.channel THEN a.channel ELSE CAST(0 AS BIGINT) END AS channel " + mirror.format("full_channels")
+            out["label_sites"] = whole["label_sites"].replace("site_masks", "full_masks")
+        if not self.controls():
+            out["eta_source"] = "SELECT 'test' AS source"
+            out["normalised"] = "SELECT source, chrom, mol_index, mol, nbp, pos, round(s, 6) AS n FROM smoothed_all WHERE source = 'test'"
+            out["bound_values"] = "SELECT chrom, side AS source, n FROM normalised CROSS JOIN (SELECT 'meth' AS side UNION ALL SELECT 'unmeth') y WHERE n IS NOT NULL"
         return out
 
 
-#: Relations that see dropped molecules too, and relations that leave them out altogether.
+#: Relations that see dropped molecules and repeated calls too.
 _ALL_MOLECULES = {"coverage", "dropout_fractions", "dropout_summary", "dropout_ecdf", "dropout_mask_separate", "dropout_mask_aggregate"}
-_MODEL = {"read_sites", "window_counts", "model_prob_fixed", "autocorr_stats", "windows"}
 
 
 def _write_meta(spark: SparkSession, path: str, meta: dict) -> None:
-    fs, p = files._fs(spark, f"{path}/meta.json")
-    out = fs.create(p, True)
-    out.write(bytearray(json.dumps(meta).encode()))
-    out.close()
+    files.write_json(spark, f"{path}/meta.json", meta)
 
 
 def load_raw(
@@ -130,8 +142,9 @@ def load_raw(
 
     Molecules are numbered by name in each (source, chromosome) before any row is dropped, after the optional draw of
     `max_nmol` of them. Then canonical calls (`-`), calls off the enzymes' sites on their strand (if `mtase` and sequences
-    are given) and calls outside the chromosome go, positions fold to the centre under `wrap`, and calls of one
-    molecule at one place are averaged. Controls must have exactly the chromosomes of the test sample."""
+    are given) and calls outside the chromosome go, and positions fold to the centre under `wrap`. A molecule's strand is
+    that of its first row. Calls that repeat a molecule's place are kept, but dense results over them raise ValueError.
+    Controls must have exactly the chromosomes of the test sample."""
     if mtase is not None and (len(set(mtase)) < len(mtase) or set(mtase) - set(files.LABELS) or not mtase):
         raise ValueError(f"mtase takes different labels of {files.LABELS}")
     if files.exists(spark, out_dir):
@@ -144,9 +157,9 @@ def load_raw(
         sequences.write.parquet(f"{out_dir}/sequences")
         sequences = spark.read.parquet(f"{out_dir}/sequences")
         given = {s: f for s, f in zip(SOURCES, (test_file, meth_file, unmeth_file), strict=True) if f}
-        raw = reduce(DataFrame.unionByName, [files.calls(spark, f, colidx).withColumn("source", F.lit(s)) for s, f in given.items()])
+        raw = reduce(DataFrame.unionByName, [files.calls(spark, f, colidx).withColumn("source", F.lit(s)).withColumn("_row", F.monotonically_increasing_id()) for s, f in given.items()])
         raw = raw.join(sizes.select("chrom", "length", "nbp"), "chrom")
-        mols = raw.groupBy("source", "chrom", "mol_id").agg(F.min("strand").alias("strand"))
+        mols = raw.groupBy("source", "chrom", "mol_id").agg(F.min_by("strand", "_row").alias("strand"))
         if max_nmol is not None:
             drawn = files.number(spark, mols.withColumn("_draw", F.xxhash64(F.lit(seed), "source", "mol_id")).withColumn("_key", F.struct("_draw", "mol_id")), ["source", "chrom"], "_key", "_rank", f"{out_dir}/_drawn")
             mols = drawn.where(F.col("_rank") < max_nmol).drop("_draw", "_key", "_rank")
@@ -171,11 +184,12 @@ def load_raw(
             rows = rows.where(unsequenced | (either if ignore_strand else strand))
         folded = F.when(F.col("upos") > (F.col("length") - 1) / 2, F.col("length") - F.col("upos") - 1).otherwise(F.col("upos")) if wrap else F.col("upos")
         rows = rows.withColumn("pos", folded.cast("long")).where("pos < nbp")
-        rows = rows.groupBy("source", "chrom", "mol", "pos").agg(F.min("strand").alias("strand"), F.avg("q").alias("q"))
+        rows = rows.select("source", "chrom", "mol", "pos", "strand", "q")
         rows.write.partitionBy("source", "chrom").parquet(f"{out_dir}/calls")
         for name in ("_drawn", "_dealt"):
             files.remove(spark, f"{out_dir}/{name}")
-        _write_meta(spark, out_dir, {"sources": list(given), "mtase": list(mtase) if mtase else None, "wrap": wrap, "ignore_strand": ignore_strand})
+        twice = spark.read.parquet(f"{out_dir}/calls").groupBy("source", "chrom", "mol", "pos").count().where("count > 1").first()
+        _write_meta(spark, out_dir, {"duplicate": list(twice[:4]) if twice else None, "sources": list(given), "mtase": list(mtase) if mtase else None, "wrap": wrap, "ignore_strand": ignore_strand})
     except BaseException:
         files.remove(spark, out_dir)
         raise

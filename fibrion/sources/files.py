@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,12 +12,6 @@ CALL_TYPES = ("string", "long", "string", "string", "double", "string")
 LABELS = ("A", "CG", "GC")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or the session's warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
@@ -40,6 +33,37 @@ def rename(spark: SparkSession, old: str, new: str) -> None:
         raise OSError(f"could not rename {old} to {new}")
 
 
+def replace(spark: SparkSession, new: str, place: str) -> None:
+    """Puts folder `new` in the place of another, if there is one; if that fails, the old one is back in its place."""
+    old = f"{place.rpartition('/')[0]}/_old-{place.rpartition('/')[2]}"
+    remove(spark, old)
+    had = exists(spark, place)
+    if had:
+        rename(spark, place, old)
+    try:
+        rename(spark, new, place)
+    except BaseException:
+        if had:
+            rename(spark, old, place)
+        raise
+    remove(spark, old)
+
+
+def write_json(spark: SparkSession, path: str, what: dict) -> None:
+    """A small file, written beside and put in its place."""
+    fs, p = _fs(spark, f"{path}.new")
+    out = fs.create(p, True)
+    out.write(bytearray(json.dumps(what).encode()))
+    out.close()
+    replace(spark, f"{path}.new", path)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The tables of a folder."""
+    fs, p = _fs(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and not s.getPath().getName().startswith("_")]
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     """A small file as one text."""
     rows = spark.read.text(path, wholetext=True).collect()
@@ -156,3 +180,23 @@ def settings(spark: SparkSession, path: str) -> dict:
     if isinstance(out.get("llink"), dict):
         out["llink"] = {str(k): int(v) for k, v in out["llink"].items()}
     return out
+
+
+def energies(spark: SparkSession, path: str, nbp: int, emax: float = float("inf")) -> DataFrame:
+    """mol (the file's name), e: energies of text files of `position energy` lines; # starts a comment, positions outside the
+    molecule are left out, energies are held within emax, places without a line are null."""
+    if not emax >= 0:
+        raise ValueError("emax is a number of 0 or more")
+    rows = spark.read.text(path).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("mol"), F.split(F.trim(F.regexp_replace("value", "#.*", "")), r"\s+").alias("w"))
+    rows = rows.where(F.size("w") >= 2).select("mol", F.expr("try_cast(w[0] as int)").alias("pos"), F.expr("try_cast(w[1] as double)").alias("e"))
+    rows = rows.where((F.col("pos") >= 0) & (F.col("pos") < nbp)).withColumn("e", F.least(F.greatest("e", F.lit(-emax)), F.lit(emax)))
+    held = rows.groupBy("mol").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("pos", "e")))).alias("at"))
+    return held.select("mol", F.transform(F.sequence(F.lit(0), F.lit(nbp - 1)), lambda p: F.col("at")[p]).alias("e"))
+
+
+def intervals(spark: SparkSession, path: str) -> DataFrame:
+    """mol_id, start, end (half-open) of a tab-separated file with the molecule's name and comma lists of starts and of lengths."""
+    rows = spark.read.csv(path, sep="\t", schema="mol_id string, starts string, lengths string", comment="#")
+    lists = [F.transform(F.filter(F.split(c, ","), lambda x: F.trim(x) != ""), lambda x: F.trim(x).cast("long")) for c in ("starts", "lengths")]
+    pairs = rows.select("mol_id", F.explode(F.arrays_zip(lists[0].alias("s"), lists[1].alias("n"))).alias("x"))
+    return pairs.select("mol_id", F.col("x.s").alias("start"), (F.col("x.s") + F.col("x.n")).alias("end"))
