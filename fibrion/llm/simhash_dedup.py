@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components
+from .components import components, forest
 
 LIMIT, SHINGLE, SEED = 2, 3, 42
 FANOUT, QUERIES = 8, 4_096
@@ -137,21 +137,6 @@ def links(fp: np.ndarray, group: np.ndarray, limit: int) -> tuple[np.ndarray, np
     return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, "i8"),) * 2
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least index that each of n nodes reaches over the links a-b."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        while not np.array_equal(new, new[new]):
-            new = new[new]
-        if np.array_equal(new, label):
-            return label
-        label = new
-
-
 def _search(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted (place, rank, fp, node) -> edges (a, b) that join what links below each top node."""

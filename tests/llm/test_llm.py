@@ -152,7 +152,9 @@ def test_near_stage_links_every_pair_at_four_fifths(spark, tmp_path):
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(40)] + [(None, 3), (5, 5)]
-    got = dict(components.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    table = spark.createDataFrame(edges, "a long, b long")
+    got = dict(components.components(table).collect())
+    assert got == dict(components.components(table, one_task=0).collect())
     label = {}
     for a, b in edges:
         if a is not None and a != b:
