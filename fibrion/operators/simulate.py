@@ -19,10 +19,10 @@ from ..functions import physics, statistics
 from ..shipping import ship
 
 
-def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+def _spread(rows: DataFrame, *keys: str, parts: int | None = None) -> DataFrame:
     """Deals rows of long work to all cores; a count of its own keeps small rows from being put together again."""
     ship(rows.sparkSession)
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return rows.repartition(parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 TOGETHER = 512  #: molecules that a kernel takes at a time
@@ -95,7 +95,8 @@ def trajectory_runs(runs: DataFrame, settings: physics.Settings, seed: int, nswe
                 frames = physics.metropolis_runs(_matrix(part), settings, nsweep, start_temp, seeds, cooling, freq)
                 yield pd.DataFrame([(mol[i], nth[i], *f) for i, *f in frames], columns=["mol", "run", "time", "energy", "temp", "positions"])
 
-    return _spread(runs, "mol", "run").mapInPandas(run, "mol long, run int, time long, energy double, temp double, positions array<int>")
+    # a step's cost hardly grows with the runs that take it together: one part a core, not more
+    return _spread(runs, "mol", "run", parts=runs.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, "mol long, run int, time long, energy double, temp double, positions array<int>")
 
 
 def occupancy(frames: DataFrame, nbp: int, nucbp: int) -> DataFrame:

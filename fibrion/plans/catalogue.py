@@ -55,6 +55,24 @@ def _mcmc_occupancy(spark, sf_dir):
     return simulate.occupancy_at(simulate.trajectories(_energies(spark, sf_dir), _SETTINGS, 2, 1, 20, 2.0, 10), 64, _SETTINGS.nucbp)
 
 
+_LONG = Settings(nucbp=147, llink=40, elink=0.5, mu=-1.0)
+
+
+def _long_molecules(spark, sf_dir):
+    """Molecules of 5,056 positions, from 79 vectors each (of the last one's too, if they are fewer)."""
+    v = _energies(spark, sf_dir).groupBy(F.floor(F.col("mol") / 79).alias("mol")).agg(F.sort_array(F.collect_list(F.struct("mol", "e"))).alias("x"))
+    return v.select("mol", F.flatten("x.e").alias("e")).where(F.size("e") >= 147)
+
+
+def _exact_long(spark, sf_dir):
+    return simulate.exact(_long_molecules(spark, sf_dir), _LONG).select("mol", "status", *(F.round(c, 6).alias(c) for c in ("logz", "mean_n", "var_n")))
+
+
+def _mcmc_long(spark, sf_dir):
+    frames = simulate.trajectories(_long_molecules(spark, sf_dir), _LONG, 5, 1, 1, 2.0, 1)
+    return frames.select("mol", "run", "time", "energy", F.size("positions").alias("n_nuc"))
+
+
 def _evidence(spark, sf_dir):
     found = simulate.llink_evidence(_energies(spark, sf_dir), _SETTINGS, list(range(0, 65, 5)))
     return found.withColumn("evidence", F.round("evidence", 6))
@@ -96,7 +114,7 @@ def _seeds(spark, sf_dir):
 
 
 QUERIES |= {
-    "exact_occupancy": _exact_occupancy, "exact_counts": _exact_counts, "sampled_occupancy": _sampled, "mcmc_summary": _mcmc, "mcmc_mean_count": _mcmc_counts, "mcmc_occupancy": _mcmc_occupancy,
+    "exact_occupancy": _exact_occupancy, "exact_counts": _exact_counts, "sampled_occupancy": _sampled, "mcmc_summary": _mcmc, "mcmc_mean_count": _mcmc_counts, "mcmc_occupancy": _mcmc_occupancy, "exact_long": _exact_long, "mcmc_long": _mcmc_long,
     "llink_evidence": _evidence, "em_fit": _em, "channel_tests": _channel_tests, "leak_fit": _leak, "nu_fit": _nu, "linkage_order": _linkage, "distances": _distances, "seed_table": _seeds,
 }
 ORACLE_SQL["distances"] = """
