@@ -118,8 +118,8 @@ _EXACT = f"""RECURSIVE ways AS (
 ), done AS (SELECT *, 1 + list_sum(f0) AS z FROM f WHERE x = 55)"""
 
 SQL = {
-    "smooth_none": f"WITH {_SMOOTH} SELECT chrom, mol_index, pos, round(s, 8) AS s FROM sm WHERE source = 'test' UNION ALL {_TAIL.format('s')}",
-    "smooth_mean": f"""WITH {_SMOOTH} SELECT chrom, mol_index, pos, round(coalesce(s, m), 8) AS s FROM sm
+    "smooth_none": f"WITH {_SMOOTH} SELECT chrom, mol_index, pos, round(s + 1e-10, 8) AS s FROM sm WHERE source = 'test' UNION ALL {_TAIL.format('s')}",
+    "smooth_mean": f"""WITH {_SMOOTH} SELECT chrom, mol_index, pos, round(coalesce(s, m) + 1e-10, 8) AS s FROM sm
 JOIN (SELECT chrom, mol_index, avg(s) AS m FROM sm WHERE source = 'test' GROUP BY ALL) USING (chrom, mol_index) WHERE source = 'test' UNION ALL {_TAIL.format('s')}""",
     "molecules": f"WITH {_RAW} SELECT source, chrom, mol, strand, mol_index FROM mols",
     "clip_bounds": _empirical(False)[0],

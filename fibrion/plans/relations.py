@@ -152,14 +152,15 @@ SELECT bin, pos, round(avg(v), 6) AS mean_v FROM (
     R["shift_left"] = f"SELECT r, pos, lead(v, {LNUC // 2}) OVER (PARTITION BY r ORDER BY pos) AS v FROM cells"
     R["gather_order"] = "SELECT event_id AS k, CAST(event_id * 7919 % 500 AS BIGINT) AS r FROM events WHERE event_id % 8 = 0"
     R["gather_rows"] = "SELECT o.k, c.pos, round(c.v, 6) AS v FROM gather_order o JOIN cells c ON o.r = c.r"
+    # sums of tenths often end in a 5 at the last place kept: a shift below it lets every engine round them the same way
     R["smoothed_all"] = f"""
 SELECT source, chrom, mol_index, mol, strand, nbp, pos, CASE WHEN pos <= nbp - {LNUC} THEN avg(q) OVER (PARTITION BY source, chrom, mol_index ORDER BY pos RANGE BETWEEN CURRENT ROW AND {LNUC - 1} FOLLOWING) END AS s FROM dense_all"""
     R["smoothed"] = "SELECT chrom, mol_index, mol, strand, nbp, pos, s FROM smoothed_all WHERE source = 'test'"
-    R["smooth_none"] = "SELECT chrom, mol_index, pos, round(s, 8) AS s FROM smoothed"
+    R["smooth_none"] = "SELECT chrom, mol_index, pos, round(s + 1e-10, 8) AS s FROM smoothed"
     R["smooth_mean"] = f"""
-SELECT chrom, mol_index, pos, round(CASE WHEN pos <= nbp - {LNUC} THEN coalesce(s, avg(s) OVER (PARTITION BY chrom, mol_index)) END, 8) AS s FROM smoothed"""
+SELECT chrom, mol_index, pos, round(CASE WHEN pos <= nbp - {LNUC} THEN coalesce(s, avg(s) OVER (PARTITION BY chrom, mol_index)) END + 1e-10, 8) AS s FROM smoothed"""
     R["smooth_interpolate"] = """
-SELECT chrom, mol_index, pos, round(coalesce(s, CASE WHEN p0 IS NOT NULL AND p1 IS NOT NULL THEN s0 + (s1 - s0) * (pos - p0) / CAST(p1 - p0 AS DOUBLE) END), 8) AS s FROM (
+SELECT chrom, mol_index, pos, round(coalesce(s, CASE WHEN p0 IS NOT NULL AND p1 IS NOT NULL THEN s0 + (s1 - s0) * (pos - p0) / CAST(p1 - p0 AS DOUBLE) END) + 1e-10, 8) AS s FROM (
   SELECT chrom, mol_index, pos, s, LAST_(s) AS s0, LAST_(CASE WHEN s IS NOT NULL THEN pos END) AS p0, FIRST_(s) AS s1, FIRST_(CASE WHEN s IS NOT NULL THEN pos END) AS p1 FROM smoothed) x"""
 
     # ---- empirical probabilities ------------------------------------------------------------------------------------------------
