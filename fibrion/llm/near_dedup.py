@@ -8,10 +8,12 @@ sets, which differ in no more bits than the sets in members, so no pair is lost
 
 SimHash goes first (simhash_dedup: fingerprints of the same shingles, Gray-order index): what its index links is held
 against the sets, and what reaches the similarity is joined. Fingerprints within two bits are few of the
-pairs at 0.8 (those differ in 3 to 11 bits), so the join finds the rest. A large group of copies is not compared pair by
-pair either: every text is held against two that share its shingle, the first and the next one in size, and what passes
-is joined; then all pairs of texts that share one and aren't joined yet are compared. A pair left out is in one component
-already, so the components are those of all pairs that reach the similarity.
+pairs at 0.8 (those differ in 3 to 11 bits), so the join finds the rest. A large group of copies is not listed pair by
+pair either: every text is held against three that share its shingle (the first, the next one in size, and the next one
+in an order of its own for each shingle, so that a group is mixed well), and what passes is joined. Then a text that may
+reach the similarity with one of another component is listed once with that component, and is held against the bitmaps
+of all its members, dealt in blocks; only pairs whose bitmaps allow the similarity become rows. A pair left out is in one
+component already, so the components are those of all pairs that reach the similarity.
 """
 
 from __future__ import annotations
@@ -30,9 +32,14 @@ from .simhash_dedup import fingerprints, near_links
 SHINGLE = 5
 #: Similarity 0.8, as a fraction.
 NUM, DEN = 4, 5
-#: The sketch has 2**BITS counters, which travel in PARTS pieces.
-BITS, PARTS = 20, 64
-PAIRS = 2_000_000
+#: The sketch has 2**BITS counters, which travel in PARTS compressed pieces.
+BITS, PARTS = 22, 64
+#: Pairs that a task looks at together; it holds four times as many results.
+PAIRS = 250_000
+#: Members of a component that are held against its candidates in one block, about.
+BLOCK = 1_024
+#: The largest filter of wanted rows has 2**FILTER bits.
+FILTER = 26
 #: Bits of a set's bitmap.
 MAP = 2_048
 
@@ -52,38 +59,51 @@ def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
     return np.unique(x ^ (x >> np.uint64(33)))
 
 
+def _packed(x: np.ndarray) -> bytes:
+    return pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(piece: bytes, n: int, dtype: str) -> np.ndarray:
+    return np.frombuffer(pa.decompress(piece, decompressed_size=n * np.dtype(dtype).itemsize, codec="zstd", asbytes=True), dtype)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) -> the task's counters, in pieces (part, counts)."""
-    total = np.zeros(1 << BITS, "i4")
+    """(text) -> the task's counters (up to 65,535), in pieces (part, counts)."""
+    total = np.zeros(1 << BITS, "u2")
     for b in batches:
         for t in b.column(0):
             at, n = np.unique((shingles(t.as_py()) >> np.uint64(64 - BITS)).astype("i8"), return_counts=True)
-            total[at] += n
-    pieces = [p.tobytes() for p in np.split(total, PARTS)]
+            total[at] = np.minimum(total[at] + n, 65_535)
+    pieces = [_packed(p) for p in np.split(total, PARTS)]
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS, dtype="i4")), pa.array(pieces, pa.binary())], names=["part", "counts"])
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pieces (part, counts) of some parts -> the binary digits of their sums."""
     total: dict[int, np.ndarray] = {}
     for b in batches:
         for part, piece in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            total[part] = total.get(part, 0) + np.frombuffer(piece.as_py(), "i4").astype("i8")
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["part", "counts"])
+            total[part] = total.get(part, 0) + _unpacked(piece.as_py(), (1 << BITS) // PARTS, "u2").astype("i8")
+    digits = [_packed(np.ceil(np.log2(v + 1)).astype("u1")) for v in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(digits, pa.binary())], names=["part", "counts"])
 
 
 def sketch(rows: DataFrame) -> np.ndarray:
     """For each counter, the number of binary digits of its count over all texts."""
     n = common.partitions(rows.sparkSession)
     found = rows.select("text").mapInArrow(_count, "part int, counts binary").repartition(n, "part").mapInArrow(_add, "part int, counts binary").collect()
-    total = np.zeros((PARTS, (1 << BITS) // PARTS), "i8")
+    total = np.zeros((PARTS, (1 << BITS) // PARTS), "u1")
     for r in found:
-        total[r.part] = np.frombuffer(r.counts, "i8")
-    return np.ceil(np.log2(total.ravel() + 1)).astype("u1")
+        total[r.part] = _unpacked(bytes(r.counts), total.shape[1], "u1")
+    return total.ravel()
 
 
 def _prefixes(level: np.ndarray):
+    packed = _packed(level)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(row, text) -> (shingle, row, place, size) for the first shingles of each text in the common order."""
+        level = _unpacked(packed, 1 << BITS, "u1")
         for b in batches:
             for lo in range(0, b.num_rows, 1_000):
                 part = b.slice(lo, 1_000)
@@ -128,40 +148,132 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keep[:, 0]), pa.array(keep[:, 1]), pa.array(keep[:, 2].astype("i4")), pa.array(keep[:, 3].astype("i4"))], names=["shingle", "row", "place", "size"])
 
 
-def _candidates(star: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted (shingle, label, row, place, size) -> pairs (a, b) of rows that share the shingle and may reach the
-        similarity: each row with its group's first and the one before it (star), or all that differ in label."""
-        for rows in _groups(batches):
-            n = len(rows)
-            if not n:
+def _mixed(x: np.ndarray, by: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    x = x.astype("u8") * np.uint64(by)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _may(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether rows i and j of (shingle, label, row, place, size, ...), which share the shingle, may reach the similarity."""
+    size_i, size_j = rows[i, 4], rows[j, 4]
+    fits = DEN * np.minimum(size_i, size_j) >= NUM * np.maximum(size_i, size_j)
+    # at the first shingle that both have, all that they share is still to come
+    return fits & ((DEN + NUM) * np.minimum(size_i - rows[i, 3], size_j - rows[j, 3]) >= NUM * (size_i + size_j))
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (shingle, label: size, row, place, size) -> pairs (a, b) of rows that share the shingle and may reach the
+    similarity: each row with its group's first, with the one before it, and with the one before it in a mixed order."""
+    for rows in _groups(batches):
+        if not len(rows):
+            continue
+        new = rows[1:, 0] != rows[:-1, 0]
+        start = np.flatnonzero(np.r_[True, new])[np.cumsum(np.r_[False, new])]
+        at = np.flatnonzero(~new) + 1
+        order = np.lexsort((_mixed(rows[:, 2] + _mixed(rows[:, 0]).view("i8")), start))
+        i, j = np.r_[start[at], at - 1, order[at - 1]], np.r_[at, at, order[at]]
+        fits = _may(rows, i, j)
+        a, b = rows[i[fits], 2], rows[j[fits], 2]
+        pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (shingle, label, row, place, size, docs) -> (row, label, docs): rows that may reach the similarity with a
+    row of the label, which has `docs` rows; the row's own label has fewer, or as many and is larger."""
+    for rows in _groups(batches):
+        n = len(rows)
+        if not n:
+            continue
+        new = np.r_[True, rows[1:, 0] != rows[:-1, 0]]
+        start = np.flatnonzero(new)[np.cumsum(new) - 1]
+        other = new | np.r_[True, rows[1:, 1] != rows[:-1, 1]]
+        many = np.flatnonzero(other)[np.cumsum(other) - 1] - start
+        upto = np.cumsum(many)
+        seen: list[np.ndarray] = []
+        lo = 0
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PAIRS, "right")))
+            k = many[lo:hi]
+            j = np.repeat(np.arange(lo, hi), k)
+            i = np.repeat(start[lo:hi] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+            fits = _may(rows, i, j)
+            i, j = i[fits], j[fits]
+            up = rows[i, 5] >= rows[j, 5]  # labels ascend in a group
+            x, to = np.where(up, j, i), np.where(up, i, j)
+            seen.append(np.column_stack([rows[x, 2], rows[to, 1], rows[to, 5]]))
+            if sum(map(len, seen)) > 4 * PAIRS or hi == n:
+                seen = [np.unique(np.concatenate(seen), axis=0)]
+                if len(seen[0]) > 2 * PAIRS or hi == n:
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, seen[0].T)), names=["row", "label", "docs"])
+                    seen = []
+            lo = hi
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (label, block, kind, row, size, map) -> pairs (a, b) of a block's members (kind 0) and its candidates (kind
+    1) whose sizes and bitmaps allow the similarity."""
+    key, held = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = np.column_stack([b.column(k).to_numpy().astype("i8") for k in range(5)])
+        maps = np.frombuffer(b"".join(b.column(5).to_pylist()), "u8").reshape(len(rows), -1)
+        cuts = np.flatnonzero(np.r_[True, (rows[1:, :3] != rows[:-1, :3]).any(1), True])
+        found = []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if key != tuple(rows[lo, :2]):
+                key, held = tuple(rows[lo, :2]), []
+            if not rows[lo, 2]:
+                held.append((rows[lo:hi, 3:], maps[lo:hi]))
                 continue
-            new = np.r_[True, rows[1:, 0] != rows[:-1, 0]]
-            start = np.flatnonzero(new)[np.cumsum(new) - 1]
-            other = new | np.r_[True, rows[1:, 1] != rows[:-1, 1]]
-            many = np.minimum(np.arange(n) - start, 1) if star else np.flatnonzero(other)[np.cumsum(other) - 1] - start
-            upto = np.cumsum(many)
-            seen = np.empty((0, 2), "i8")
-            lo = 0
-            while lo < n:
-                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PAIRS, "right")))
-                k = many[lo:hi]
-                j = np.repeat(np.arange(lo, hi), k)
-                i = np.repeat(start[lo:hi] - (np.cumsum(k) - k), k) + np.arange(k.sum())
-                if star:
-                    i, j = np.r_[i, j - 1], np.r_[j, j]
-                size_i, size_j = rows[i, 4], rows[j, 4]
-                fits = DEN * np.minimum(size_i, size_j) >= NUM * np.maximum(size_i, size_j)
-                # at the first shingle that both have, all that they share is still to come
-                fits &= (DEN + NUM) * np.minimum(size_i - rows[i, 3], size_j - rows[j, 3]) >= NUM * (size_i + size_j)
-                a, b = rows[i[fits], 2], rows[j[fits], 2]
-                seen = np.unique(np.concatenate([seen, np.column_stack([np.minimum(a, b), np.maximum(a, b)])]), axis=0)
-                if len(seen) > PAIRS or hi == n:
-                    yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0]), pa.array(seen[:, 1])], names=["a", "b"])
-                    seen = seen[:0]
-                lo = hi
+            if len(held) != 1:
+                held = [tuple(np.concatenate(x) for x in zip(*held, strict=True))]
+            (own, bits) = held[0]
+            step = max(1, 16_000 // len(own))
+            for at in range(lo, hi, step):
+                to = min(hi, at + step)
+                apart = np.bitwise_count(maps[at:to, None] ^ bits).sum(2, dtype="i8")
+                size, sizes = rows[at:to, 4, None], own[:, 1]
+                fits = ((DEN + NUM) * apart <= (DEN - NUM) * (size + sizes)) & (DEN * np.minimum(size, sizes) >= NUM * np.maximum(size, sizes))
+                x, m = np.nonzero(fits)
+                found.append(np.column_stack([rows[at + x, 3], own[m, 0]]))
+        if found:
+            a, c = np.concatenate(found).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], names=["a", "b"])
+
+
+def _places(row: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(_mixed(row, by) >> np.uint64(64 - bits)).astype("i8") for by in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+
+
+def among(table: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of a table (row, ...) whose `row` is in wanted (row, distinct), and perhaps some in twenty of the others: a
+    filter of 8 to 16 bits a wanted row (up to 2**FILTER in all), so that a join doesn't move the whole table."""
+    bits = min(FILTER, max(10, (8 * wanted.count()).bit_length()))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, some = np.zeros(1 << bits, "u1"), False
+        for b in batches:
+            some |= b.num_rows > 0
+            for at in _places(b.column(0).to_numpy(), bits):
+                marks[at] = 1
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([_packed(np.packbits(marks))], pa.binary())], names=["marks"])
+
+    marks = np.zeros((1 << bits) // 8, "u1")
+    for r in wanted.select("row").mapInArrow(mark, "marks binary").toLocalIterator():
+        marks |= _unpacked(bytes(r.marks), len(marks), "u1")
+    packed = _packed(marks)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.unpackbits(_unpacked(packed, (1 << bits) // 8, "u1"))
+        for b in batches:
+            one, two = _places(b.column(0).to_numpy(), bits)
+            yield b.filter(pa.array((marks[one] & marks[two]).astype(bool)))
 
-    return run
+    return table.mapInArrow(keep, table.schema)
 
 
 def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,27 +328,40 @@ def near_rows(rows: DataFrame) -> DataFrame:
 
     def beside(pairs: DataFrame, table: DataFrame, names: list[str]) -> DataFrame:
         """Pairs with columns of the table for both sides."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-        table = table.join(wanted, "row")
+        wanted = common.cut(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct())
+        table = among(table.select("row", *names), wanted).join(wanted, "row")
         for side, other in (("a", "b"), ("b", "a")):
             own = table.select(F.col("row").alias(side), *(F.col(x).alias(f"{x}_{side}") for x in names))
             pairs = common.salted_left_join(pairs, own, [side], other, 4)
         return pairs.select("a", "b", *(f"{x}_{side}" for x in names for side in ("a", "b")))
 
-    def edges(labelled: DataFrame, star: bool, more: DataFrame | None = None) -> DataFrame:
-        """The pairs that share a shingle, and `more` pairs, that reach the similarity."""
-        dealt = labelled.select("shingle", "label", "row", "place", "size").repartition(n, "shingle").sortWithinPartitions("shingle", "label", "row")
-        pairs = dealt.mapInArrow(_candidates(star), "a long, b long")
-        pairs = common.cut((pairs if more is None else pairs.unionByName(more)).distinct())
-        pairs = common.cut(beside(pairs, maps, ["size", "map"]).mapInArrow(_close, "a long, b long"))
-        return common.cut(beside(pairs, rows.select("row", "text"), ["text"]).mapInArrow(_verify, "a long, b long"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that reach the similarity."""
+        return common.cut(beside(pairs, rows, ["text"]).mapInArrow(_verify, "a long, b long"))
 
     prints = common.cut(fingerprints(rows.select("row", F.col("row").alias("doc_id"), "text"), SHINGLE))
     nodes, near = near_links(prints)  # ids are rows here
     copies = prints.join(nodes.where("docs > 1").select("fp", "node"), "fp").where("node < row").select(F.col("node").alias("a"), F.col("row").alias("b"))
     linked = common.cut(copies.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
-    found = common.cut(components(edges(shared.withColumn("label", F.col("size").cast("long")), True, linked)).withColumnRenamed("node", "row"))
-    labelled = shared.join(found.withColumnRenamed("component", "label"), "row", "left").withColumn("label", F.coalesce("label", "row"))
-    rest = edges(labelled, False)
+    dealt = shared.select("shingle", F.col("size").cast("long").alias("label"), "row", "place", "size").repartition(n, "shingle")
+    pairs = dealt.sortWithinPartitions("shingle", "label", "row").mapInArrow(_neighbours, "a long, b long")
+    pairs = common.cut(pairs.unionByName(linked).distinct())
+    pairs = common.cut(beside(pairs, maps, ["size", "map"]).mapInArrow(_close, "a long, b long"))
+    found = common.cut(components(verified(pairs)).withColumnRenamed("node", "row"))
+
+    labels = common.cut(found.join(found.groupBy("component").agg(F.count("*").alias("docs")), "component").withColumnRenamed("component", "label"))
+    own = (F.coalesce("label", "row").alias("label"), F.coalesce("docs", F.lit(1).cast("long")).alias("docs"))
+    dealt = shared.join(labels, "row", "left").select("shingle", own[0], "row", "place", "size", own[1]).repartition(n, "shingle")
+    met = dealt.sortWithinPartitions("shingle", "label", "row").mapInArrow(_across, "row long, label long, docs long")
+    met = common.cut(met.distinct())
+    blocks = F.ceil(F.col("docs") / BLOCK)
+    wanted = met.groupBy("label").agg(F.max("docs").alias("docs"))
+    members = maps.join(labels.select("row", "label"), "row", "left").select("row", "size", "map", own[0])
+    members = common.salted_left_join(members, wanted, ["label"], "row", 4).where("docs is not null")
+    members = members.withColumn("block", F.pmod(F.xxhash64("row"), blocks)).withColumn("kind", F.lit(0))
+    seekers = met.join(maps, "row").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).withColumn("kind", F.lit(1))
+    columns = ("label", "block", "kind", "row", "size", "map")
+    both = members.select(*columns).unionByName(seekers.select(*columns)).repartition(n, "label", "block").sortWithinPartitions("label", "block", "kind")
+    rest = verified(common.cut(both.mapInArrow(_blocks, "a long, b long")))
     joined = found.select(F.col("row").alias("a"), F.col("component").alias("b")).unionByName(rest)
     return components(joined).withColumnRenamed("node", "row")

@@ -149,6 +149,41 @@ def test_near_stage_links_every_pair_at_four_fifths(spark, tmp_path):
     assert sum(r.doc_id is None for r in got) == 1
 
 
+def test_near_copies_are_not_listed_pair_by_pair(spark, monkeypatch):
+    """A large group of near copies, some of which reach only a few others: whole components from few pairs."""
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(500):
+        copy = list(base)
+        for at in rng.choice(150, 3 if i % 10 == 0 else 1 + i % 2, replace=False):
+            copy[at] = f"x{i}y{at}"
+        texts.append(" ".join(copy))
+    made, cut = [], common.cut
+
+    def counted(df):
+        out = cut(df)
+        if out.columns[:2] in (["a", "b"], ["row", "label"]):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "cut", counted)
+    got = dict(near_dedup.near_rows(common.ship(spark).createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)).collect())
+    label = jaccard_groups(texts)
+    assert got == {i: x for i, x in enumerate(label) if label.count(x) > 1}
+    assert len(got) > 300
+    assert max(made) < 20 * len(texts), made
+
+
+def test_among_keeps_every_wanted_row(spark):
+    table = spark.range(0, 40_000, 1, 4).select(F.col("id").alias("row"), F.col("id").cast("string").alias("text"))
+    for wanted in (table.where("row % 97 = 3").select("row"), table.where("false").select("row")):
+        got = {r.row for r in near_dedup.among(table, wanted).collect()}
+        want = {r.row for r in wanted.collect()}
+        assert want <= got
+        assert len(got) < len(want) + 40_000 / 15
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(40)] + [(None, 3), (5, 5)]
